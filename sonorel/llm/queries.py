@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_curve_packing": ("documents", "packing", "pack"),
+    "op2_ftrl_language": ("documents", "langid", "identify"),
+    "op3_weak_pii": ("documents", "pii", "find"),
+    "op4_diagonal_licences": ("documents", "license_scan", "scan"),
     "op7_word_bpe": ("documents", "word_bpe", "round_trips"),
     "op10_hyperminhash": ("documents", "hyperminhash", "near_duplicates"),
 }
