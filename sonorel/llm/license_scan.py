@@ -43,7 +43,7 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl-2.0",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-COVERED, SLACK, STRETCH = 0.8, 2, 1.25
+COVERED, SLACK, STRETCH = 0.9, 2, 1.25
 _END = -1
 
 
