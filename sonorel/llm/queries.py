@@ -11,6 +11,7 @@ MODULES = {
     "op2_ftrl_language": ("documents", "langid", "identify"),
     "op3_weak_pii": ("documents", "pii", "find"),
     "op4_diagonal_licences": ("documents", "license_scan", "scan"),
+    "op5_cover_tree_dedup": ("embeddings", "cover_tree", "linked_vectors"),
     "op7_word_bpe": ("documents", "word_bpe", "round_trips"),
     "op10_hyperminhash": ("documents", "hyperminhash", "near_duplicates"),
 }
