@@ -13,6 +13,7 @@ MODULES = {
     "op4_diagonal_licences": ("documents", "license_scan", "scan"),
     "op5_cover_tree_dedup": ("embeddings", "cover_tree", "linked_vectors"),
     "op7_word_bpe": ("documents", "word_bpe", "round_trips"),
+    "op9_one_bit_codes": ("embeddings", "rabitq", "nearest"),
     "op10_hyperminhash": ("documents", "hyperminhash", "near_duplicates"),
 }
 

@@ -53,5 +53,5 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of ``a`` with rows of ``b`` in double precision, each alike whatever its neighbours are."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = np.ascontiguousarray(a, np.float64), np.ascontiguousarray(b, np.float64)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
