@@ -12,7 +12,9 @@ MODULES = {
     "op3_weak_pii": ("documents", "pii", "find"),
     "op4_diagonal_licences": ("documents", "license_scan", "scan"),
     "op5_cover_tree_dedup": ("embeddings", "cover_tree", "linked_vectors"),
+    "op6_salvaged_warc": ("pages", "warc", "round_trip"),
     "op7_word_bpe": ("documents", "word_bpe", "round_trips"),
+    "op8_edit_counts": ("documents", "edit_counts", "count_edits"),
     "op9_one_bit_codes": ("embeddings", "rabitq", "nearest"),
     "op10_hyperminhash": ("documents", "hyperminhash", "near_duplicates"),
 }
