@@ -237,3 +237,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     out = out.unionByName(rows.where("fp is null").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Rows that repeat that doc_id as a whole leave one; a null doc_id stays. All columns stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.limit(1).count():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
