@@ -11,7 +11,7 @@ No group is ever expanded into its pairs:
 1. rows with equal sets become one class (its smallest doc_id stands for it);
 2. each class is compared with the smallest class of each of its band buckets (a star);
 3. in buckets of three and more whose members still lie in different components, the pairs
-   between different components are compared too, block against block.
+   between different components are compared too, block against block, until they are joined.
 
 Step 3 makes the components those of all candidate links: a pair is skipped only if both ends
 are already connected.
@@ -146,6 +146,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long, fp_a binary, fp_b binary")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b, fp_a, fp_b)`` whose full sets pass. Texts travel only for documents that stand in a pair."""
 
@@ -170,41 +174,61 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    texts = stored(texts, "texts")
+    texts = stored(_texts(docs, ids), "texts")
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.mapInArrow(run, "u long, v long")
 
 
-def _open_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Hopeful pairs between different components within buckets that are still open.
+def _open_links(members: DataFrame, k: int, percent: int, block: int = 1024) -> DataFrame:
+    """Confirmed links between different components within buckets that are still open.
 
-    ``members(band, size, rep, label, n, fp, regs)``. A bucket is dealt into blocks of about
-    ``block`` members; each pair of blocks is a group of its own.
+    ``members(band, size, rep, label, n, fp, regs, bands, text)``. A bucket is dealt into blocks
+    of about ``block`` members; each pair of blocks is a group of its own, which keeps its own
+    union of components: once two members hang together, no pair between their components is
+    looked at again. A pair that meets in several buckets is looked at in the first. What comes
+    out is at most one link per union.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        ra, rb = _matrix(left["regs"]), _matrix(right["regs"])
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        ids_a, ids_b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        fa, fb = left["fp"].to_numpy(), right["fp"].to_numpy()
+        band, i, j = key
+        pdf = pdf.sort_values(["part", "rep"], kind="stable").reset_index(drop=True)
+        if i == j:
+            lefts = rights = np.arange(len(pdf))
+        else:
+            lefts, rights = np.flatnonzero(pdf["part"] == i), np.flatnonzero(pdf["part"] == j)
+        regs = _matrix(pdf["regs"])
+        bands = np.stack([np.asarray(b, np.int64) for b in pdf["bands"]])
+        here = int(np.flatnonzero(bands[0] == band)[0])
+        n, reps, texts, fps = pdf["n"].to_numpy(), pdf["rep"].to_numpy(), pdf["text"], pdf["fp"]
+        _, root = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        sets: dict[int, np.ndarray] = {}
+
+        def full(x: int) -> np.ndarray:
+            if x not in sets:
+                s = shingle_set(texts[x], k)
+                sets[x] = s if fingerprint(s) == fps[x] else np.empty(0, np.uint64)  # another row of the same id
+            return sets[x]
+
         out = []
-        for x in range(len(left)):
-            ys = np.flatnonzero((lb != la[x]) & ((ids_a[x] < ids_b) if i == j else True))
-            if ys.size:
-                ys = ys[hopeful(ra[x][None, :], rb[ys], np.full(ys.size, na[x]), nb[ys], percent)]
-                out += [(ids_a[x], ids_b[y], fa[x], fb[y]) for y in ys]
-        return pd.DataFrame(out, columns=["a", "b", "fp_a", "fp_b"])
+        for x in lefts:
+            ys = rights[(rights > x) & (root[rights] != root[x])] if i == j else rights[root[rights] != root[x]]
+            if not ys.size:
+                continue
+            ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == here]
+            ys = ys[hopeful(regs[x][None, :], regs[ys], np.full(ys.size, n[x]), n[ys], percent)]
+            est, _ = estimate(regs[x][None, :], regs[ys], np.full(ys.size, n[x]), n[ys])
+            for y in ys[np.argsort(-est, kind="stable")]:
+                if root[y] != root[x] and full(x).size and full(y).size and linked(full(x), full(y), percent):
+                    out.append((reps[x], reps[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["u", "v"])
 
     parts = F.ceil(F.col("size") / block).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    dealt = dealt.withColumn("cell", F.explode(cells)).select("band", "cell.i", "cell.j", "part", "rep", "label", "n", "fp", "regs")
-    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a long, b long, fp_a binary, fp_b binary").distinct()
+    dealt = dealt.withColumn("cell", F.explode(cells)).select("band", "cell.i", "cell.j", "part", "rep", "label", "n", "fp", "regs", "bands", "text")
+    return dealt.groupBy("band", "i", "j").applyInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -225,11 +249,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     in_large = stored(banded.join(sizes.where("size > 2").select("band", "size"), "band"), "large")
     named = stored(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")), "named")
     open_bands = stored(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "open")
-    members = named.join(open_bands, "band").join(classes.select("rep", "n", "fp", "regs"), "rep")
-    more = stored(_open_pairs(members, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        more_links = stored(_confirmed(more, docs, k, percent), "links")
-        label = stored(components(links.unionByName(more_links)), "labels")
+    ids = stored(named.join(open_bands, "band").select(F.col("rep").alias("doc_id")).distinct(), "members")
+    if ids.limit(1).count():
+        texts = stored(_texts(docs, ids), "texts")
+        about = stored(classes.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text"), "about")
+        members = named.join(open_bands, "band").join(about, "rep")
+        more = stored(_open_links(members, k, percent), "links")
+        label = stored(components(links.unionByName(more)), "labels")
 
     by_fp = stored(classes.select("fp", F.col("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "classes")
     rows = sig.select("doc_id", "n", "fp")  # empty sets have no key: they must not meet in one task
