@@ -212,7 +212,7 @@ class Encoder(ChunkIds):
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.n_ids = max(spec["model"]["vocab"].values()) + 1
+        self.n_ids = max(*spec["model"]["vocab"].values(), *self.special.values()) + 1
         self.width = np.zeros(self.n_ids, np.int64)
         for token, i in ranks.items():
             self.width[i] = len(token)

@@ -231,6 +231,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
+def _number(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda c: c["kind"] == kind))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, score`` of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -239,7 +243,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = F.filter("candidates", lambda c: c["base"])
     spans = accepted(model, F.col("candidates"))
     rows = found.select("doc_id", base.alias("b"), spans.alias("s"))
-    counts = [F.size(F.filter("b", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [_number(F.col("b"), k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     surest = F.aggregate("s", F.lit(0.0), lambda a, c: F.greatest(a, probability(model, c)))
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("b")), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), (F.size("s") - F.size("b")).cast("long").alias("n_added"), surest.alias("score"))
 
