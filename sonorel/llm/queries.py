@@ -49,6 +49,27 @@ SELECT s.doc_id, s.n AS n_shingles, coalesce(l.root, s.doc_id) AS component_id,
 FROM sizes s LEFT JOIN lowest l ON l.node = s.doc_id
 """
 
+OP5_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+{COMPONENTS},
+degree AS (SELECT a, count(*) AS n FROM label GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.root, e.vec_id) AS component_id, e.vec_id = coalesce(l.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN lowest l ON l.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(p.sha, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p JOIN f USING (sha)
+"""
+
 
 def _query(table: str, module: str, function: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_hyperminhash": OP10_SQL}
+    return {"op5_cover_tree_dedup": OP5_SQL, "op6_salvaged_warc": OP6_SQL, "op10_hyperminhash": OP10_SQL}

@@ -178,14 +178,17 @@ def test_pii_base_spans(spark, docs, empty):
     rng = random.Random(5)
     parts = ["a@b.co", ".d@e.f", "x@y", "@", "1.2.3.4", "300.1.1.1", "001.002.003.004", ".5", "4111111111111111", "4111 1111-1111 1111", "+1 (988) 555-2485", "+12", "+", " ", "-", "7", "12", "ü", "😀", "_", "\n", "4" * 25]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(1200)]
-    texts += ["9" * 200000, "a" * 200000, "1 " * 50000, "+1" + " " * 50000, "a@" * 20000, "1.2." * 20000]
+    # long runs, on which plain backtracking would be quadratic: the answers are known
+    long = {"9" * 200000: "", "a" * 200000: "", "1 " * 50000: "", "+1" + " " * 50000: "", "a@" * 20000: "", "1.2." * 4000: ",".join(f"ip:{a}:{a + 7}" for a in range(0, 16000, 8))}
+    texts += list(long)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 100000).alias("doc_id"), "text"))
     want = dict(enumerate(texts)) | {None if i is None else i + 100000: t for i, t, *_ in corpus()}
     rows = pii.find(df).collect()
     assert len(rows) == df.count()
     for r in rows:
-        base = plain_spans(want[r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), want[r.doc_id][:200]
+        text = want[r.doc_id]
+        base = long[text] if text in long else plain_spans(text)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), text[:200]
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
         assert r.n_email == base.count("email") and r.n_phone == base.count("phone") and 0 <= r.score <= 1
     assert pii.find(empty).count() == 0
