@@ -23,6 +23,7 @@ their like; rows repeated as a whole count as vectors of their own, with their s
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,18 @@ class CoverTree:
             place_above = place
             self.member = node
 
+    def to_bytes(self) -> bytes:
+        """The tree without its points."""
+        return pickle.dumps(([(c.astype(np.int32), r, p.astype(np.int32)) for c, r, p in self.levels], self.member.astype(np.int32)), protocol=5)
+
+    @classmethod
+    def over(cls, points: np.ndarray, raw: bytes) -> CoverTree:
+        """A tree that was built before over the same points."""
+        tree = cls.__new__(cls)
+        tree.points = points
+        tree.levels, tree.member = pickle.loads(raw)
+        return tree
+
     def leaves(self) -> list[np.ndarray]:
         """The points below each node of the lowest level."""
         order = np.argsort(self.member, kind="stable")
@@ -137,11 +150,11 @@ def dual_traversal(a: CoverTree, b: CoverTree, reach: float) -> tuple[np.ndarray
     return np.nonzero(alive)
 
 
-def links_between(xa: np.ndarray, xb: np.ndarray | None, threshold: float):
+def links_between(xa: np.ndarray, xb: np.ndarray | None, threshold: float, a: CoverTree | None = None, b: CoverTree | None = None):
     """Yield (i, j) index arrays of pairs with cosine >= threshold between rows of ``xa`` and ``xb``, or within ``xa``."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    a = CoverTree(unit(xa))
-    b = a if xb is None else CoverTree(unit(xb))
+    a = a or CoverTree(unit(xa))
+    b = a if xb is None else b or CoverTree(unit(xb))
     below_a, below_b = a.leaves(), (a if xb is None else b).leaves()
     other = xa if xb is None else xb
     ii, jj, held = [], [], 0
@@ -237,17 +250,18 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
         centre = x.mean(axis=0)
         centre = centre / max(float(np.linalg.norm(centre)), 1e-12) if np.linalg.norm(centre) > 1e-9 else x[0]
         radius = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ centre))).max())
+        tree = CoverTree(x).to_bytes()  # built once, used in every pair of blocks
         out = []
         for s in range(0, len(pdf), CHUNK):
             part = pdf.iloc[s : s + CHUNK]
-            out.append((int(key[0]), s // CHUNK, int(part["width"].iloc[0]), part["rep"].to_numpy("<i8").tobytes(), part["copies"].to_numpy("<i8").tobytes(), b"".join(part["vec"]), centre.tobytes(), radius))
-        return pd.DataFrame(out, columns=["block", "chunk", "width", "reps", "copies", "vecs", "centre", "radius"])
+            out.append((int(key[0]), s // CHUNK, int(part["width"].iloc[0]), part["rep"].to_numpy("<i8").tobytes(), part["copies"].to_numpy("<i8").tobytes(), b"".join(part["vec"]), centre.tobytes(), radius, b"" if s else tree))
+        return pd.DataFrame(out, columns=["block", "chunk", "width", "reps", "copies", "vecs", "centre", "radius", "tree"])
 
-    blocks = stored(dealt.groupBy("block").applyInPandas(pack, "block long, chunk int, width int, reps binary, copies binary, vecs binary, centre binary, radius double"), "blocks")
+    blocks = stored(dealt.groupBy("block").applyInPandas(pack, "block long, chunk int, width int, reps binary, copies binary, vecs binary, centre binary, radius double, tree binary"), "blocks")
     heads = blocks.where("chunk = 0").select("block", "width", "centre", "radius").collect()  # one row per block
     pairs = _block_pairs(heads, math.sqrt(max(0.0, 2 - 2 * threshold)))
     pair_rows = spark.createDataFrame([(b, i, j) for i, j in pairs for b in {i, j}], "block long, i long, j long")
-    travelling = pair_rows.join(blocks.select("block", "chunk", "reps", "copies", "vecs", "width"), "block")
+    travelling = pair_rows.join(blocks.select("block", "chunk", "reps", "copies", "vecs", "width", "tree"), "block")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[0]), int(key[1])
@@ -255,7 +269,8 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
         for b in dict.fromkeys((i, j)):
             part = pdf[pdf["block"] == b].sort_values("chunk")
             w = int(part["width"].iloc[0])
-            sides.append((np.frombuffer(b"".join(part["reps"]), "<i8"), np.frombuffer(b"".join(part["copies"]), "<i8"), np.frombuffer(b"".join(part["vecs"]), width).reshape(-1, w // np.dtype(width).itemsize)))
+            x = np.frombuffer(b"".join(part["vecs"]), width).reshape(-1, w // np.dtype(width).itemsize)
+            sides.append((np.frombuffer(b"".join(part["reps"]), "<i8"), np.frombuffer(b"".join(part["copies"]), "<i8"), x, CoverTree.over(unit(x), part["tree"].iloc[0])))
         reps = np.concatenate([s[0] for s in sides])
         copies = np.concatenate([s[1] for s in sides])
         order = np.argsort(reps, kind="stable")
@@ -263,7 +278,7 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
         rank[order] = np.arange(len(reps))
         shift = len(sides[0][0]) if i != j else 0
         degree, forest = np.zeros(len(reps), np.int64), Forest(len(reps))
-        for a, b in links_between(sides[0][2], sides[1][2] if i != j else None, threshold):
+        for a, b in links_between(sides[0][2], sides[-1][2] if i != j else None, threshold, sides[0][3], sides[-1][3]):
             b = b + shift
             np.add.at(degree, a, copies[b])
             np.add.at(degree, b, copies[a])
