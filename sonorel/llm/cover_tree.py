@@ -125,29 +125,51 @@ class CoverTree:
         return np.split(order, np.cumsum(np.bincount(self.member, minlength=len(self.levels[-1][0])))[:-1])
 
 
+def _below(parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Children grouped by parent: their order, where each parent's begin, how many there are."""
+    count = np.bincount(parent, minlength=n)
+    return np.argsort(parent, kind="stable"), np.cumsum(count) - count, count
+
+
 def dual_traversal(a: CoverTree, b: CoverTree, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of lowest-level nodes of both trees that no bound rules out for points within ``reach``."""
-    alive = np.ones((1, 1), bool)
-    depth = max(len(a.levels), len(b.levels))
-    la = lb = 0
-    for step in range(depth):
+    i = j = np.zeros(1, np.int64)
+    for step in range(max(len(a.levels), len(b.levels))):
         na, nb = min(step, len(a.levels) - 1), min(step, len(b.levels) - 1)
-        (ca, ra, pa_), (cb, rb, pb_) = a.levels[na], b.levels[nb]
-        rows = pa_ if na > la else np.arange(len(ca))
-        cols = pb_ if nb > lb else np.arange(len(cb))
-        if step:
-            alive = alive[np.ix_(rows, cols)]
-        if alive.mean() > 0.02:
-            d = np.sqrt(np.maximum(0, 2 - 2 * (a.points[ca].astype(np.float32) @ b.points[cb].astype(np.float32).T)))
-            alive &= d <= ra[:, None] + rb[None, :] + reach + 2e-3  # beyond any rounding of single precision
+        (ca, ra, up_a), (cb, rb, up_b) = a.levels[na], b.levels[nb]
+        if not step or na < step:
+            up_a = np.arange(len(ca))
+        if not step or nb < step:
+            up_b = np.arange(len(cb))
+        above = (int(up_a.max()) + 1, int(up_b.max()) + 1) if step else (1, 1)
+        order_a, first_a, count_a = _below(up_a, above[0])
+        order_b, first_b, count_b = _below(up_b, above[1])
+        ways = count_a[i] * count_b[j]
+        if ways.sum() * 16 > len(ca) * len(cb):
+            # most pairs are alive: one product of all centres, then only those near enough
+            sims = a.points[ca].astype(np.float32) @ b.points[cb].astype(np.float32).T
+            least = 1 - (ra + (rb.max() + reach + 2e-3)) ** 2 / 2  # beyond any rounding of single precision
+            x, y = np.nonzero(sims >= least.astype(np.float32)[:, None])
+            near = np.sqrt(np.maximum(0, 2 - 2 * sims[x, y])) <= ra[x] + rb[y] + reach + 2e-3
+            x, y = x[near], y[near]
+            if ways.sum() < len(ca) * len(cb):
+                alive = np.zeros(above, bool)
+                alive[i, j] = True
+                keep = alive[up_a[x], up_b[y]]
+                x, y = x[keep], y[keep]
         else:
-            i, j = np.nonzero(alive)
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                d = np.sqrt(np.maximum(0, 2 - 2 * (a.points[ca[x]] * b.points[cb[y]]).sum(axis=1)))
-                alive[x, y] &= d <= ra[x] + rb[y] + reach + 1e-6
-        la, lb = na, nb
-    return np.nonzero(alive)
+            place = np.arange(int(ways.sum())) - np.repeat(np.cumsum(ways) - ways, ways)
+            wide = np.repeat(count_b[j], ways)
+            x = order_a[np.repeat(first_a[i], ways) + place // np.maximum(wide, 1)]
+            y = order_b[np.repeat(first_b[j], ways) + place % np.maximum(wide, 1)]
+            near = np.zeros(len(x), bool)
+            for s in range(0, len(x), 1 << 16):
+                p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+                d = np.sqrt(np.maximum(0, 2 - 2 * (a.points[ca[p]] * b.points[cb[q]]).sum(axis=1)))
+                near[s : s + (1 << 16)] = d <= ra[p] + rb[q] + reach + 1e-6
+            x, y = x[near], y[near]
+        i, j = x, y
+    return i, j
 
 
 def links_between(xa: np.ndarray, xb: np.ndarray | None, threshold: float, a: CoverTree | None = None, b: CoverTree | None = None):
