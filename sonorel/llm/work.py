@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sonorel.shipping import ship
+
 _made: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
 
@@ -46,7 +48,8 @@ def drop(df_path: str, spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts do not pile up in a worker."""
+    """Arrow batches of at most ``rows`` rows, so that long texts do not pile up in a worker; the workers get the package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
