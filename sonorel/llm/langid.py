@@ -197,15 +197,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a calibrated score of at least ``least``; all columns stay."""
+def recognised(docs: DataFrame, margin: float = 1.2) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language likelier than a guess; all columns stay.
+
+    A guess among k learned languages scores 1 / k; the best language must have ``margin`` times
+    that. With fewer than two learned languages only texts without a letter go.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     where = docs.columns.index("text")
 
     def run(batches):
         m = shared.value
+        bar = margin / len(m.languages) if len(m.languages) > 1 else 0.0
         for batch in batches:
-            yield batch.filter(pa.array([m.predict(t)[1] >= least for t in batch.column(where).to_pylist()], pa.bool_()))
+            texts = batch.column(where).to_pylist()
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) and m.predict(t)[1] >= bar for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
