@@ -515,27 +515,23 @@ def x9(spark, sf):
 _FEW = _SAMPLES.replace("FROM events)", "FROM events WHERE user_id < 12)")
 
 
-def _few(spark, sf):
-    return samples(spark, sf).where("stream < 12")
-
-
 _REFLECT = f"""{_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream), g AS (SELECT stream, n, fr AS frame, j, fr * 8 + j - 16 AS q FROM n, range(100000) r(fr), range(32) u(j) WHERE fr <= n // 8),
     fx AS (SELECT g.stream, g.frame, CAST(g.j AS INTEGER) AS j, coalesce(s.x, 0) AS x FROM g LEFT JOIN s ON s.stream = g.stream AND s.i = CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * n - q - 2 ELSE q END)"""
 
 
 @_register("w2_reflect_frames", f"WITH {_REFLECT} SELECT * FROM fx")
 def w2(spark, sf):
-    return si.frames(_few(spark, sf), 32, 8)
+    return si.frames(samples(spark, sf), 32, 8)
 
 
 @_register("w3_plain_frames", f"WITH {_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT n.stream, fr AS frame, CAST(j AS INTEGER) AS j, s.x FROM n, range(100000) r(fr), range(32) u(j), s WHERE n.n >= 32 AND fr <= (n.n - 32) // 8 AND s.stream = n.stream AND s.i = fr * 8 + j")
 def w3(spark, sf):
-    return si.frames(_few(spark, sf), 32, 8, "none")
+    return si.frames(samples(spark, sf), 32, 8, "none")
 
 
 @_register("w4_zero_frames", f"WITH {_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT n.stream, fr AS frame, CAST(j AS INTEGER) AS j, coalesce(s.x, 0) AS x FROM n CROSS JOIN range(100000) r(fr) CROSS JOIN range(32) u(j) LEFT JOIN s ON s.stream = n.stream AND s.i = fr * 8 + j - 12 WHERE n.n + 24 >= 32 AND fr <= (n.n + 24 - 32) // 8")
 def w4(spark, sf):
-    return si.frames(_few(spark, sf), 32, 8, "zero", 24)
+    return si.frames(samples(spark, sf), 32, 8, "zero", 24)
 
 
 _POWER = f"""{_REFLECT}, pw AS (SELECT stream, frame, CAST(k AS INTEGER) AS k, power(sum(x * h * cos(2 * pi() * k * j / 32)), 2) + power(sum(x * h * sin(2 * pi() * k * j / 32)), 2) AS power
@@ -544,7 +540,7 @@ _POWER = f"""{_REFLECT}, pw AS (SELECT stream, frame, CAST(k AS INTEGER) AS k, p
 
 @_register("x5_power", f"WITH {_POWER} SELECT stream, frame, k, round(power, 6) AS power FROM pw")
 def x5(spark, sf):
-    return si.power_by_join(si.frames(_few(spark, sf), 32, 8), 32).withColumn("power", F.round("power", 6))
+    return si.power_by_join(si.frames(samples(spark, sf), 32, 8), 32).withColumn("power", F.round("power", 6))
 
 
 def _bank_sql(scale: str, mels: int, n_fft: int, rate: int) -> str:
@@ -574,7 +570,7 @@ _MEL = f"{_POWER}, {_bank_sql('htk', 4, 32, 16000)}, mel AS (SELECT stream, fram
 
 
 def _mel(spark, sf):
-    return si.apply_filterbank(si.power_by_join(si.frames(_few(spark, sf), 32, 8), 32), dsp.filterbank(spark, 16000, 32, 4, "htk"))
+    return si.apply_filterbank(si.power_by_join(si.frames(samples(spark, sf), 32, 8), 32), dsp.filterbank(spark, 16000, 32, 4, "htk"))
 
 
 @_register("j7_melapply", f"WITH {_MEL} SELECT stream, frame, bin, round(v, 6) AS v FROM mel")

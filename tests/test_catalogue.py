@@ -47,3 +47,35 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def whole(name):
+    """A query's SQL text without its cuts."""
+    return catalogue.oracle_sql()[name].replace(" WHERE user_id < 12)", ")")
+
+
+def same(ours, theirs, cols):
+    """Equal as sets of rows, floats up to the last rounded digit."""
+    key = lambda row: tuple(repr(v) for v in row if not isinstance(v, float))
+    ours, theirs = (sorted((tuple(v + 0.0 if isinstance(v, float) else float(v) if type(v).__name__ == "Decimal" else v for v in r) for r in rows), key=key) for rows in (ours, theirs))
+    assert len(ours) == len(theirs) and [key(r) for r in ours] == [key(r) for r in theirs]
+    for a, b in zip(ours, theirs):
+        assert all(x == y or isinstance(x, float) and abs(x - y) <= 2e-6 * max(1, abs(y)) for x, y in zip(a, b)), (cols, a, b)
+
+
+def against_whole(name, spark, duck):
+    df = catalogue.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    cur = duck.execute(whole(name))
+    names = [d[0] for d in cur.description]
+    ours = [tuple(r[c] for c in cols) for r in df.collect()]
+    same(ours, [tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()], cols)
+    return ours, cols
+
+
+@pytest.mark.parametrize("name", ["w2_reflect_frames", "w3_plain_frames", "w4_zero_frames", "x5_power", "j7_melapply", "x8_lognorm", "a5_utterance", "a6_perfeature"])
+def test_every_stream_is_framed(name, spark, duck):
+    ours, cols = against_whole(name, spark, duck)
+    least = 32 if name == "w3_plain_frames" else 1
+    users = {r[0] for r in duck.execute(f"select user_id from events group by user_id having count(*) >= {least}").fetchall()}
+    assert max(users) >= 12 and {r[cols.index("stream")] for r in ours} == users
