@@ -99,7 +99,7 @@ def f1(spark, sf):
 @_register("f2_sanitize", """SELECT doc_id, CASE WHEN substr(text, 1, 24) = '' THEN 'speaker' ELSE array_to_string(list_transform(string_split(substr(text, 1, 24), ''),
     lambda c: CASE WHEN (c >= 'a' AND c <= 'z') OR (c >= 'A' AND c <= 'Z') OR (c >= '0' AND c <= '9') OR c IN ('_', '-', '.') THEN c ELSE '_' END), '') END AS name FROM documents""")
 def f2(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", tx.sanitize_filename(F.substring("text", 1, 24)).alias("name"))
+    return _table(spark, sf, "documents").select("doc_id", tx.sanitize_filename(F.col("text")).alias("name"))
 
 
 @_register("f3_lang_norm", "SELECT conv_id, turn, upper(substr(r, 1, 1)) || lower(substr(r, 2)) AS lang FROM (SELECT conv_id, turn, trim('  ' || upper(role) || ' ' || role || ' ') AS r FROM conversations)")
@@ -111,7 +111,7 @@ def f3(spark, sf):
 @_register("f4_parse_output", """SELECT doc_id, CASE WHEN k = 0 THEN upper(substr(source, 1, 1)) || lower(substr(source, 2)) ELSE '' END AS language, trim(replace(body, chr(10), ' ')) AS text
     FROM (SELECT doc_id, doc_id % 4 AS k, source, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60) AS body FROM documents)""")
 def f4(spark, sf):
-    d = _table(spark, sf, "documents").withColumn("body", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60))
+    d = _table(spark, sf, "documents").withColumn("body", F.regexp_replace("text", r"\s+", " "))
     k = F.col("doc_id") % 4
     raw = F.when(k == 0, F.concat(F.lit("\n noise\nLANGUAGE "), F.upper("source"), F.lit("<asr_text> "), "body")).when(k == 1, F.concat(F.lit("language None<asr_text>"), "body")).when(k == 2, F.concat(F.lit("no tag<asr_text>"), "body")).otherwise(F.concat(F.lit("  "), "body"))
     return d.select("doc_id", tx.parse_output(raw).alias("p")).select("doc_id", "p.language", "p.text")

@@ -51,7 +51,8 @@ def test_entry(spark):
 
 def whole(name):
     """A query's SQL text without its cuts."""
-    return catalogue.oracle_sql()[name].replace(" WHERE user_id < 12)", ")")
+    sql = catalogue.oracle_sql()[name].replace(" WHERE user_id < 12)", ")").replace("substr(text, 1, 24)", "text")
+    return sql.replace("substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60)", "regexp_replace(text, '\\s+', ' ', 'g')")
 
 
 def same(ours, theirs, cols):
@@ -79,3 +80,9 @@ def test_every_stream_is_framed(name, spark, duck):
     least = 32 if name == "w3_plain_frames" else 1
     users = {r[0] for r in duck.execute(f"select user_id from events group by user_id having count(*) >= {least}").fetchall()}
     assert max(users) >= 12 and {r[cols.index("stream")] for r in ours} == users
+
+
+@pytest.mark.parametrize("name, column", [("f2_sanitize", "name"), ("f4_parse_output", "text")])
+def test_texts_are_read_to_their_end(name, column, spark, duck):
+    ours, cols = against_whole(name, spark, duck)
+    assert max(len(r[cols.index(column)]) for r in ours) > 1000
