@@ -437,12 +437,7 @@ _LOOPED = "y AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN list_transform(range
 @_register("o8_repetition", f"""WITH {_IDS}, {_LOOPED} SELECT doc_id, CASE WHEN len(ids) < 128 THEN false ELSE len(list_distinct(ids[len(ids) - 95 : len(ids)])) <= 6
     OR len(list_filter(range(1, 17), lambda p: ids[len(ids) - 6 * p + 1 : len(ids) - p] = ids[len(ids) - 5 * p + 1 : len(ids)])) > 0 END AS loops FROM y""")
 def o8(spark, sf):
-    k = F.col("doc_id") % 4
-    made = (
-        F.when(k == 0, F.transform(F.sequence(F.lit(0), F.lit(139)), lambda i: i % 5)).when(k == 1, F.array_repeat(F.lit(1), 127))
-        .when(k == 2, F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.when(i < 200, (i * i + F.col("doc_id")) % 1009).otherwise(i % 13).cast("int"))).otherwise(F.col("ids"))
-    )
-    return tokens(spark, sf).select("doc_id", de.repetition_loop(made).alias("loops"))
+    return tokens(spark, sf).select("doc_id", de.repetition_loop(F.col("ids")).alias("loops"))
 
 
 @_register("o4_fallback", """WITH a AS (SELECT vec_id // 6 AS seq, (vec_id % 6) * 0.2::DOUBLE AS temperature, 1 + abs(embedding[1])::DOUBLE * 10 AS compression_ratio, embedding[2]::DOUBLE * 10 AS avg_logprob FROM embeddings)
