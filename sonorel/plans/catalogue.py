@@ -666,5 +666,5 @@ def g11(spark, sf):
     """Streams as recordings at 100 Hz, clustered into two speakers and transcribed by the stand-in model."""
     from sonorel.plans.diarize import DiarizeOptions, diarize
 
-    rec = _rows(spark, sf).where("stream < 40").select(F.col("stream").cast("string").alias("path"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"), F.flatten(F.transform("a", lambda x: F.array_repeat(x.cast("float"), 4800))).alias("samples"))
+    rec = _rows(spark, sf).select(F.col("stream").cast("string").alias("path"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"), F.flatten(F.transform("a", lambda x: F.array_repeat(x.cast("float"), 4800))).alias("samples"))
     return diarize(rec, DiarizeOptions(overrides=["spk1=de"], language="en"))

@@ -96,3 +96,11 @@ def test_repetition_is_of_each_text(spark, duck, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.loops for r in catalogue.queries()["o8_repetition"](spark, str(tmp_path)).collect()}
     assert got == {i: (False, True, True, True, False, True)[i // 4] for i, _ in rows}
+
+
+def test_every_stream_is_diarized(spark, tmp_path):
+    rows = [(u * 1000 + i, u, i, 400.0 if i % 20 < 10 else 0.0) for u in (3, 40, 977) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["g11_diarize_stub"](spark, str(tmp_path)).collect()
+    texts = {p: sorted((r.idx, r.start_s, r.end_s, r.text) for r in got if r.path == p) for p in ("3", "40", "977")}
+    assert {r.path for r in got} == set(texts) and texts["3"] and texts["3"] == texts["40"] == texts["977"]
