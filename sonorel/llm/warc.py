@@ -8,7 +8,8 @@ response; the others are revisits of it, without a block.
 Reading: each archive is parsed record by record. A record whose version line, headers, length,
 separator or digest does not check out is not trusted: the reader looks for the next gzip
 member or version line from which a record does check out, goes on there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. In a gzip member the same search goes over the bytes that can be
+decompressed, if the member is torn up to the damage; a member without records is stepped over.
 
 Defined results: a null html is an empty payload; a null page_id is written as one and is
 always a response; repeated rows are written and read as often as they stand, and rows that share their
@@ -31,6 +32,7 @@ from sonorel.llm.work import scratch_path, small_batches, stored
 END = "\r\n\r\n"
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
 def base32(hex40: Column) -> Column:
@@ -81,14 +83,16 @@ class Damage(Exception):
     pass
 
 
-def _plain_record(data: bytes, at: int) -> Record:
-    """The record at ``at`` if it checks out; its end is that of its separator."""
+def _plain_record(data: bytes, at: int, strict: bool = False) -> Record:
+    """The record at ``at`` if it checks out; its end is that of its separator. ``strict``: control characters in headers do not check out."""
     m = _VERSION.match(data, at)
     if not m:
         raise Damage("no version line")
     stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
         raise Damage("no end of headers")
+    if strict and _CONTROL.search(data, m.end(), stop):
+        raise Damage("a control character in the headers")
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -109,36 +113,91 @@ def _plain_record(data: bytes, at: int) -> Record:
     return Record(at, end + 4, headers, block)
 
 
-def _member(data: bytes, at: int) -> list[Record]:
-    """The records of the gzip member at ``at``; their end is the member's."""
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(data[at:]) + unzip.flush()
-    except zlib.error as e:
-        raise Damage(str(e)) from None
-    if not unzip.eof:
-        raise Damage("the member is cut short")
-    end, out, p = len(data) - len(unzip.unused_data), [], 0
-    while p < len(plain):
-        r = _plain_record(plain, p)
-        p = r.end
-        out.append(Record(at, end, r.headers, r.block))
-    return out
+CHUNK = 1 << 16
+
+
+def _unzip(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds as far as it can be read, the end of what was read, and what was wrong, if anything."""
+    unzip, out, p, view = zlib.decompressobj(31), [], at, memoryview(data)
+    while p < len(data) and not unzip.eof:
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(view[p : p + CHUNK]))
+        except zlib.error as e:
+            for k in range(p, min(p + CHUNK, len(data))):  # byte by byte, for all that comes before the damage
+                try:
+                    out.append(before.decompress(view[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), k, str(e)
+        p = min(p + CHUNK, len(data))
+    plain = b"".join(out) + (b"" if unzip.eof else unzip.flush())
+    return plain, p - len(unzip.unused_data), "" if unzip.eof else "the member is cut short"
+
+
+def _parse(data: bytes, torn: bool) -> tuple[list[Record], list[str]]:
+    """The records in a member's bytes that check out, and what was wrong between them.
+
+    A torn member counts up to the first damage: behind it, copies of earlier bytes may be shifted, so
+    that headers are wrong in what no digest covers. The record just before the damage counts only where
+    another one begins behind it, or nothing is left.
+    """
+    out, wrong, p = [], [], 0
+    while p < len(data):
+        try:
+            out.append(_plain_record(data, p))
+            p = out[-1].end
+            continue
+        except Damage as e:
+            wrong.append(str(e))
+        if torn:
+            break
+        while line := _VERSION.search(data, p + 1):
+            p = line.start()
+            try:
+                _plain_record(data, p)
+                break
+            except Damage:
+                continue
+        else:
+            break
+    if torn and out and not data.startswith(b"WARC/1."[: len(data) - p], p) and not _VERSION.search(data, p):
+        out.pop()
+    return out, wrong
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record], list[str], int, bool]:
+    """Of the gzip member at ``at``: its records, what was wrong between them, the end of what was read, whether it is torn."""
+    plain, end, why = _unzip(data, at)
+    out, wrong = _parse(plain, bool(why))
+    return [Record(at, end, r.headers, r.block) for r in out], [why] if why else wrong, end, bool(why)
 
 
 def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
-    """All records of an archive that check out, and the byte gaps between them with what was wrong."""
+    """All records of an archive that check out, and the byte gaps with what was wrong.
+
+    What is wrong inside a member makes a gap of the member's bytes; its other records stand.
+    """
     found: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
-    at = 0
+    at, strict = 0, False  # strict: the bytes may be of a torn member, which stores records with marks of its own between
     while at < len(data):
+        part: list[Record] = []
         try:
-            new = _member(data, at) if data.startswith(MAGIC, at) else [_plain_record(data, at)]
-            found += new
-            at = new[-1].end if new else len(data)
-            continue
+            if data.startswith(MAGIC, at):
+                part, wrong, end, strict = _member(data, at)
+                if not strict:
+                    found += part
+                    gaps += [(at, end, why) for why in wrong]
+                    at = end
+                    continue
+                reason = wrong[0]
+            else:
+                found.append(_plain_record(data, at, strict))
+                at = found[-1].end
+                continue
         except Damage as e:
-            reason = str(e)
+            reason, end = str(e), at
         begin, p = at, at
         while True:
             line = _VERSION.search(data, p + 1)
@@ -146,11 +205,18 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
             p = min((x for x in nexts if x >= 0), default=len(data))
             if p >= len(data):
                 break
+            if data.startswith(MAGIC, p):
+                more, _, _, torn = _member(data, p)
+                if more or not torn:
+                    break
+                continue
             try:
-                _member(data, p) if data.startswith(MAGIC, p) else _plain_record(data, p)
-                break
+                r = _plain_record(data, p, strict)
             except Damage:
                 continue
+            if not (r.end <= end and any((x.headers, x.block) == (r.headers, r.block) for x in part)):  # a torn member may store its records as they are
+                break
+        found += [Record(begin, p, r.headers, r.block) for r in part]
         gaps.append((begin, p, reason))
         at = p
     return found, gaps

@@ -443,6 +443,36 @@ def test_salvage_finds_what_is_left():
     assert warc.salvage(b"") == ([], []) and warc.salvage(b"nothing")[1] == [(0, 7, "no version line")]
 
 
+def test_salvage_inside_gzip_members():
+    ids = lambda found: [int(r.headers["warc-record-id"][10:-1]) for r in found]
+    rng = random.Random(18)
+    parts = [one(i, rng.randbytes(3000)) for i in range(60)]
+    pack = lambda ps, level=9: gzip.compress(b"".join(ps), level, mtime=0)
+    hollow = gzip.compress(b"", mtime=0)
+    members = [pack([p]) for p in parts[:3]]
+    found, gaps = warc.salvage(hollow + members[0] + hollow + hollow + members[1] + members[2] + hollow)
+    assert ids(found) == [0, 1, 2] and not gaps
+    wrong = bytearray(b"".join(parts))
+    wrong[sum(map(len, parts[:7])) - 10] ^= 1
+    both = gzip.compress(bytes(wrong), mtime=0) + members[1]
+    found, gaps = warc.salvage(both)
+    assert ids(found) == [*range(6), *range(7, 60), 1] and gaps == [(0, len(both) - len(members[1]), "digest")]
+    for level in (0, 9):
+        whole = pack(parts, level)
+        found, gaps = warc.salvage(whole[: len(whole) // 2])
+        assert ids(found) == list(range(len(found))) and len(found) in (28, 29, 30) and gaps == [(0, len(whole) // 2, "the member is cut short")]
+        hurt = bytearray(whole)
+        hurt[len(whole) // 2] ^= 0x55
+        found, gaps = warc.salvage(bytes(hurt) + members[2])
+        assert ids(found)[:28] == list(range(28)) and ids(found)[-1] == 2 and gaps[0][0] == 0
+        assert len(found) > 55 if level == 0 else len(found) in (29, 30, 31) and gaps[0][1] == len(whole)
+        assert all(r.block == parts[i].split(b"\r\n\r\n", 1)[1][:-4] for i, r in zip(ids(found), found)) and len(set(ids(found[:-1]))) == len(found) - 1
+        found, gaps = warc.salvage(whole[: len(whole) // 2] + parts[59] + members[0])
+        assert ids(found)[:28] == list(range(28)) and ids(found)[-2:] == [59, 0] and len(gaps) == 1
+    found, gaps = warc.salvage(pack(parts[:2])[:-4])
+    assert ids(found) == [0, 1] and gaps[0][2] == "the member is cut short"
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u5", "<p>é same</p>"), (2, "u2", "<p>é same</p>"), (3, None, None), (4, "u\n4", ""), (9, "u9", "x\r\n\r\nWARC/1.1\r\ny"), (None, "u", "alone"), (7, "u7", "z" * 100000), (8, "u8", "z" * 100000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
