@@ -5,7 +5,10 @@ counts; document frequencies come from every row that may be learned from. The c
 fitted by FTRL-proximal with L1 and L2 penalties on a sample of at most about ``sample_rows``
 rows (drawn by hash, evenly over languages; the bound is a parameter because the fit runs on
 the driver), and its scores are calibrated by a temperature fitted on a held-back fifth of that
-sample. At most ``max_languages`` languages, the most frequent, are learned.
+sample. All languages are learned: beyond ``max_languages`` they are cut into groups of at most
+that many, one model tells the groups and one per group its languages, and a language's
+probability is the product. Then each language gives ``LEAST_ROWS`` rows or all it has, about,
+and never none, even if the sample grows beyond ``sample_rows``.
 
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. A prediction uses the text alone.
 
@@ -27,6 +30,7 @@ from sonorel.llm.work import small_batches, stored
 
 FEATURES = 1 << 15
 ORDERS = 4
+LEAST_ROWS = 8
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
@@ -57,16 +61,28 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float = 1.0
+    #: Of more than one group: the first language of each and the end, the groups' weights, and a temperature for each group.
+    bounds: list[int] | None = None
+    coarse: np.ndarray | None = None
+    fine: list[float] | None = None
 
     def vector(self, idx: np.ndarray, tf: np.ndarray) -> np.ndarray:
         x = tf * self.idf[idx]
         return x / max(float(np.linalg.norm(x)), 1e-12)
 
+    def shares(self, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The probability of each language."""
+        logits = x @ self.weights[idx]
+        if self.bounds is None:
+            return softmax(logits / self.temperature)
+        groups = softmax((x @ self.coarse[idx]) / self.temperature)
+        return np.concatenate([p * softmax(logits[a:b] / t) for p, a, b, t in zip(groups, self.bounds, self.bounds[1:], self.fine)])
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not _LETTER.search(text):
             return "und", 0.0
         idx, tf = features(text)
-        p = softmax((self.vector(idx, tf) @ self.weights[idx]) / self.temperature)
+        p = self.shares(idx, self.vector(idx, tf))
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -116,16 +132,36 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
+def fitted(rows: list[tuple], classes: int, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and temperature of one model from rows ``(class, held back, idx, x)``."""
+    fit = [r for r in rows if not r[1]]
+    ftrl = FTRL(FEATURES, classes)
+    order = np.random.Generator(np.random.PCG64(5))
+    for _ in range(epochs):
+        for k in order.permutation(len(fit)):
+            y, _, i, x = fit[k]
+            ftrl.step(i, x, y)
+    weights = ftrl.weights()
+    held = [r for r in rows if r[1]]
+    if not held or classes < 2:
+        return weights, 1.0
+    return weights, best_temperature(np.stack([x @ weights[i] for _, _, i, x in held]), np.array([y for y, *_ in held]))
+
+
 def train(docs: DataFrame, sample_rows: int = 4000, max_languages: int = 64, epochs: int = 3) -> Model:
     """Learn from the rows of ``docs(doc_id, text, lang)`` that are not held out and have a text and a lang."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
     learn = learn.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("draw"))
-    per_lang = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    per_lang = {r.lang: (r.n, r.first) for r in learn.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()}
     if not per_lang:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)))
-    rate = {lang: sample_rows / len(per_lang) / n for lang, n in per_lang.items()}
+    many = len(per_lang) > max_languages
+    rate = {lang: max(sample_rows / len(per_lang), LEAST_ROWS if many else 0) / n for lang, (n, _) in per_lang.items()}
     rates = F.create_map(*[F.lit(v) for pair in rate.items() for v in pair])
     drawn = F.pmod("draw", F.lit(1 << 20)) < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0)) * (1 << 20)
+    if many:  # a few rows by chance may be none
+        firsts = F.create_map(*[F.lit(v) for lang, (_, first) in per_lang.items() for v in (lang, first)])
+        drawn = drawn | F.coalesce(F.col("draw") == F.try_element_at(firsts, F.col("lang")), F.lit(False))
 
     def run(batches):
         df, rows = np.zeros(FEATURES, np.int64), 0
@@ -160,23 +196,24 @@ def train(docs: DataFrame, sample_rows: int = 4000, max_languages: int = 64, epo
     for lang, draw, idx, tf in sample.itertuples(index=False):
         i = np.frombuffer(idx, "<u2").astype(np.int64)
         rows.append((number[lang], (draw >> 20) % 5 == 0, i, model.vector(i, np.frombuffer(tf, np.float32))))
-    fit = [r for r in rows if not r[1]] or rows
-    ftrl = FTRL(FEATURES, len(languages))
-    order = np.random.Generator(np.random.PCG64(5))
-    for _ in range(epochs):
-        for k in order.permutation(len(fit)):
-            y, _, i, x = fit[k]
-            ftrl.step(i, x, y)
-    model.weights = ftrl.weights()
-    held = [r for r in rows if r[1]]
-    if held and len(languages) > 1:
-        model.temperature = best_temperature(np.stack([x @ model.weights[i] for _, _, i, x in held]), np.array([y for y, *_ in held]))
+    learned = {y for y, held, *_ in rows if not held}
+    rows = [(y, held and y in learned, i, x) for y, held, i, x in rows]  # no language is only held back
+    if not many:
+        model.weights, model.temperature = fitted(rows, len(languages), epochs)
+        return model
+    size = -(-len(languages) // -(-len(languages) // max_languages))
+    model.bounds = [*range(0, len(languages), size), len(languages)]
+    model.coarse, model.temperature = fitted([(y // size, *r) for y, *r in rows], len(model.bounds) - 1, epochs)
+    model.weights, model.fine = np.zeros((FEATURES, len(languages)), np.float32), []
+    for a, b in zip(model.bounds, model.bounds[1:]):
+        model.weights[:, a:b], t = fitted([(y - a, *r) for y, *r in rows if a <= y < b], b - a, epochs)
+        model.fine.append(t)
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 features times max_languages numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 features times as many numbers as languages
 
     def run(batches):
         m = shared.value

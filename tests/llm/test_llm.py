@@ -144,6 +144,26 @@ def test_language_id_learns_and_holds_out(spark, empty):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_languages_beyond_one_group_are_learned(spark):
+    rng = random.Random(19)
+    vocab = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(90)}
+    text = lambda lang: " ".join(rng.choice(vocab[lang]) for _ in range(25))
+    names = [lang for k, lang in enumerate(vocab) for _ in range(20 if k < 64 else 7)]
+    rows = [(i, text(lang), lang) for i, lang in enumerate(names)]
+    once = next(i for i in range(len(rows), len(rows) + 20) if zlib.crc32(str(i).encode()) % 3 != 1)
+    vocab["once"] = ["qwrtz", "xxyyq", "zzkkj"]
+    rows.append((once, text("once"), "once"))
+    fresh = {5000 + k: lang for k, lang in enumerate(vocab)}
+    rows += [(i, text(lang), None) for i, lang in fresh.items()]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got.values())
+    rare = {i: lang for i, lang in fresh.items() if lang == "once" or lang >= "l64"}
+    assert sum(got[i].lang_pred == lang for i, lang in fresh.items()) / len(fresh) > 0.95
+    assert sum(got[i].lang_pred == lang for i, lang in rare.items()) / len(rare) > 0.95 and got[once].lang_pred == "once"
+    model = langid.Model(["a", "b", "c"], np.ones(langid.FEATURES), np.eye(langid.FEATURES, 3), 1.0, [0, 2, 3], np.eye(langid.FEATURES, 2), [1.0, 2.0])
+    assert abs(model.shares(np.array([0, 5]), np.array([0.6, 0.8])).sum() - 1) < 1e-12
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     ftrl = langid.FTRL(50, 2, l1=0.5)
