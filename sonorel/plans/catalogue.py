@@ -373,7 +373,7 @@ def _kmeans_sql(k: int = 3, rounds: int = 6) -> str:
 @_register("g3_kmeans", _kmeans_sql())
 def g3(spark, sf):
     e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("long").alias("stream"), F.col("vec_id").alias("seg_id"), F.col("vec_id").alias("start"), "embedding")
-    return cl.cluster_segments(e, 3, rounds=6)
+    return cl.cluster_segments(e, 3)
 
 
 @_register("j8_nearest_centroid", """WITH c AS (SELECT vec_id AS cluster, embedding AS e FROM embeddings WHERE vec_id < 4)

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from sonorel.plans import catalogue
@@ -104,3 +105,14 @@ def test_every_stream_is_diarized(spark, tmp_path):
     got = catalogue.queries()["g11_diarize_stub"](spark, str(tmp_path)).collect()
     texts = {p: sorted((r.idx, r.start_s, r.end_s, r.text) for r in got if r.path == p) for p in ("3", "40", "977")}
     assert {r.path for r in got} == set(texts) and texts["3"] and texts["3"] == texts["40"] == texts["977"]
+
+
+def test_groups_settle_beyond_six_rounds(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(10000, 64)) * np.where(np.arange(64) < 4, 1.0, 0.01))[:2500]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got, six, all_rounds = ({tuple(r) for r in rows} for rows in (catalogue.queries()["g3_kmeans"](spark, str(tmp_path)).collect(), con.execute(catalogue._kmeans_sql()).fetchall(), con.execute(catalogue._kmeans_sql(rounds=25)).fetchall()))
+    assert got == all_rounds and got != six
