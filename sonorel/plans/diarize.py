@@ -100,8 +100,8 @@ def diarize(recordings: DataFrame, options: DiarizeOptions | None = None, factor
     """Transcript rows ``path, idx, speaker, start_s, end_s, language, text, stop_reason`` of all recordings."""
     o = options or DiarizeOptions()
     spark = recordings.sparkSession
-    small_batches(spark, 16)  # a row holds a whole recording
-    track = tracks(recordings, o.speaker_mode)
+    small_batches(spark, 4)  # a row holds a whole recording
+    track = tracks(recordings, o.speaker_mode).hint("merge")  # never broadcast: its size is underestimated
     found = detect(track, o.vad)
     order = Window.partitionBy("path").orderBy("start", "channel", "end")
     modes = recordings.select("path", F.when(F.lit(o.speaker_mode) == "auto", F.when(F.col("channels") == 2, "channel").otherwise("cluster")).otherwise(F.lit(o.speaker_mode)).alias("mode"))
