@@ -6,6 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sonorel.llm import license_scan
+
 MODULES = {
     "op1_curve_packing": ("documents", "packing", "pack"),
     "op2_ftrl_language": ("documents", "langid", "identify"),
@@ -84,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_cover_tree_dedup": OP5_SQL, "op6_salvaged_warc": OP6_SQL, "op10_hyperminhash": OP10_SQL}
+    return {"op4_diagonal_licences": license_scan.sql(), "op5_cover_tree_dedup": OP5_SQL, "op6_salvaged_warc": OP6_SQL, "op10_hyperminhash": OP10_SQL}

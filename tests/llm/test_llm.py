@@ -267,6 +267,43 @@ def test_licence_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def plain_cover(words, template):
+    """The largest share of a template's word pairs that a text holds in order, with at most one shift of up to two words."""
+    t = template.split()
+    m, best = len(t) - 1, 0
+    pair = {i: (words[i], words[i + 1]) for i in range(len(words) - 1)}
+    here = sorted({i - j for i, p in pair.items() for j in range(m) if p == (t[j], t[j + 1])})
+    for at in here:
+        for shift in (-2, -1, 0, 1, 2):
+            for split in range(m + 1):
+                skip = max(0, -shift)
+                got = sum(pair.get(at + j) == (t[j], t[j + 1]) for j in range(split))
+                got += sum(pair.get(at + shift + j) == (t[j], t[j + 1]) for j in range(split + skip, m))
+                best = max(best, got)
+    return best / m
+
+
+def test_licence_spans_are_verified(spark):
+    rng = random.Random(71)
+    notices = list(license_scan.NOTICES)
+    texts = ["this source this source this source this source code form is subject to the terms of"]
+    for _ in range(150):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 4)):
+            at, how = rng.randrange(len(words)), rng.randint(0, 3)
+            words[at : at + 1] = [[], ["new", words[at]], ["other"], words[max(0, at - 3) : at + 1]][how]
+        texts.append(" ".join([rng.choice(WORDS) for _ in range(rng.randint(0, 4))] + words + [rng.choice(WORDS)]))
+    texts += [notices[7] + " " + notices[8], "GNU GENERAL PUBLIC LICENSE \u212a", "l\u0130cense apache license"]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        cover = {t: plain_cover(words, t) for t in notices}
+        phrases = {x for p, x in license_scan.PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        assert set(filter(None, rows[i].labels.split(","))) == phrases | {license_scan.NOTICES[t] for t, c in cover.items() if c >= license_scan.COVERED}
+        assert abs(rows[i].score - max([*cover.values(), float(bool(phrases))])) < 1e-12
+    assert rows[0].labels == "" and sum(bool(r.labels) for r in rows.values()) > 40
+
+
 # --- components and pairs -----------------------------------------------------------------------
 
 
