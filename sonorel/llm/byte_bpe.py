@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 LONG_CHUNK = 4096
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,6 +32,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])) + 1
+
+
 def byte_of() -> dict[str, int]:
     """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -125,12 +132,11 @@ def chunked(column: pa.Array) -> Iterator[tuple[int, int, Chunks]]:
     n = len(column)
     if not n:
         return
-    _, where, data = column.cast(pa.large_string()).buffers()
-    offsets = np.frombuffer(where, "<i8")[column.offset : column.offset + n + 1] if column.offset == 0 else None
-    if offsets is None or column.null_count:
-        column = pa.array(["" if x is None else x for x in column.to_pylist()], pa.large_string())
-        _, where, data = column.buffers()
-        offsets = np.frombuffer(where, "<i8")[: n + 1]
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, "<i8")[column.offset : column.offset + n + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     i = 0
     while i < n:
@@ -166,7 +172,7 @@ class ChunkIds:
     Chunks of earlier batches are found by hash in a sorted cache of at most ``entries``.
     """
 
-    entries = 1_500_000
+    entries = 500_000
 
     def __init__(self):
         self.cache = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, "<u4")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorel.llm.byte_bpe import Encoder, chunked, default_path, encoder, gathered
-from sonorel.llm.work import small_batches
+from sonorel.shipping import ship
 
 LEAF = 64
 CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
@@ -128,7 +128,7 @@ def edited_counts(docs: DataFrame, edits: Column, path: str | None = None) -> Da
     ``edits`` is an array of (start int, deleted int, inserted string) on ``docs``.
     """
     path = path or default_path()
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)

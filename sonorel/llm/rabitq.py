@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sonorel.llm.vectors import cosines, read_vectors, unit, width_of
-from sonorel.llm.work import small_batches, stored
+from sonorel.llm.work import stored
 
 BLOCK, QUERY_BLOCK, LANES = 1024, 512, 16
 EPSILON = 4.0  # standard errors of the estimate that the bounds allow
@@ -118,7 +118,6 @@ def best_of_block(q_ids, q, ids, x, codes, own, k: int):
 def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The ``k`` nearest other rows of every row of ``df(vec_id, embedding)`` whose vec_id is divisible by ``every``."""
     spark = df.sparkSession
-    small_batches(spark, 64)
     width = width_of(df)
     vectors = stored(read_vectors(df, width).where("vec is not null and vec_id is not null").select("vec_id", "vec"), "vectors")
     codes = block_rows(vectors, width, BLOCK, True).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)))
@@ -138,6 +137,6 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 cols = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["query_id", "score", "vec_id"])
 
-    best = met.mapInArrow(run, "query_id long, score double, vec_id long")
+    best = stored(met.mapInArrow(run, "query_id long, score double, vec_id long"), "best", rows=16)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -13,7 +13,7 @@ decompressed, if the member is torn up to the damage; a member without records i
 
 Defined results: a null html is an empty payload; a null page_id is written as one and is
 always a response; repeated rows are written and read as often as they stand, and rows that share their
-smallest page_id are all responses; extra columns are not carried. One archive is read in one task: ``records_per_file`` bounds it.
+smallest page_id are all responses; extra columns are not carried. One archive is read in one task; ``write`` bounds archives by bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorel.llm.work import scratch_path, small_batches, stored
+from sonorel.llm.work import drop_path, scratch_path, stored
+from sonorel.shipping import ship
 
 END = "\r\n\r\n"
 MAGIC = b"\x1f\x8b\x08"
@@ -67,8 +68,19 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
-    records(pages, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+#: Records below these sizes in bytes share archives by so many; larger ones have an archive each.
+SHARED = ((1 << 14, 4000), (1 << 20, 64))
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+    """Archives of at most 64 MB, but for those of a single larger record."""
+    rows = records(pages, min_bytes)
+    kind = sum((F.octet_length("value") >= limit).cast("int") for limit, _ in SHARED)
+    there = sorted(r.kind for r in rows.select(kind.alias("kind")).distinct().collect())  # at most three
+    for k in there or [0]:
+        most = SHARED[k][1] if k < len(SHARED) else 1
+        some = rows.where(kind == k) if len(there) > 1 else rows
+        some.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 @dataclass
@@ -199,10 +211,15 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
         except Damage as e:
             reason, end = str(e), at
         begin, p = at, at
+        next_member = next_line = -1
         while True:
-            line = _VERSION.search(data, p + 1)
-            nexts = [data.find(MAGIC, p + 1), line.start() if line else -1]
-            p = min((x for x in nexts if x >= 0), default=len(data))
+            if next_member <= p:  # each search goes on where it last ended
+                next_member = data.find(MAGIC, p + 1)
+                next_member = len(data) if next_member < 0 else next_member
+            if next_line <= p:
+                line = _VERSION.search(data, p + 1)
+                next_line = line.start() if line else len(data)
+            p = min(next_member, next_line)
             if p >= len(data):
                 break
             if data.startswith(MAGIC, p):
@@ -244,16 +261,17 @@ def read(archives: DataFrame, blocks: bool = True) -> DataFrame:
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
+    ship(archives.sparkSession)
     return archives.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, READ)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages, read the archives back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
     spark = pages.sparkSession
-    small_batches(spark, 1)
     path = scratch_path(spark, "warc")
     write(pages, path, min_bytes)
     archives = spark.read.format("binaryFile").load(path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    found = read(archives, blocks=False).where("gap is null")
+    found = stored(read(archives, blocks=False).where("gap is null"), "records", rows=1)
+    drop_path(path)
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from sonorel.llm.byte_bpe import ChunkIds, Chunks, byte_of, gathered
-from sonorel.llm.work import small_batches
+from sonorel.shipping import ship
 
 CACHE_ENTRIES = 300_000
 
@@ -161,7 +161,7 @@ def tokenizer(path: str) -> WordBPE:
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
     path = path or default_path()
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         bpe = tokenizer(path)
