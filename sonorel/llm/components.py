@@ -2,14 +2,16 @@
 
 Both steps only take minima per node (combined before the shuffle) and join them back, so a
 hub with a third of all edges is split by the skew-join rule and never gathered in one task.
-Each round is written to the shared folder; the driver sees one number a round.
+The edges of each round are written to the shared folder, what is made in between is kept on the
+executors within the round; the driver sees one number a round. Rounds grow with the logarithm of
+the number of nodes; after ``max_rounds`` it is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sonorel.llm.work import stored
+from sonorel.llm.work import discard, held, stored
 
 
 def _astray(e: DataFrame) -> int:
@@ -31,12 +33,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not _astray(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+        low = held(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
-        down = stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
+        large = held(large)
+        down = held(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, stored(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(low, large, down, before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -19,7 +19,8 @@ are already connected.
 Defined results: a null doc_id takes no part in linking (component_id null, kept true); a null,
 empty or blank text has n_shingles 0 and its own component; rows repeated as a whole have the same result;
 when one doc_id stands on rows with different texts, each row follows its own text, and
-classes whose smallest id is the same count as one. Extra columns pass through untouched.
+classes whose smallest id is the same count as one. An empty table gives no rows. Extra columns
+pass through ``deduplicated`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorel.llm.components import components
-from sonorel.llm.shingles import fingerprint, linked, mix, shingle_set
-from sonorel.llm.work import stored
+from sonorel.llm.shingles import fingerprint, linked, mix, shingle_set, truly_linked
+from sonorel.llm.work import discard, held, stored
 
 BUCKETS, MANTISSA, BANDS, ROWS_PER_BAND = 128, 10, 25, 5
 EMPTY = 0xFFFF
@@ -101,7 +102,7 @@ def hopeful(a, b, n, m, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``(doc_id, n, fp, regs, bands)`` of every row; fp, regs and bands are null for empty sets."""
+    """``(doc_id, digest, n, fp, regs, bands)`` of every row; fp, regs and bands are null for empty sets, digest is the text's."""
 
     def run(batches):
         for batch in batches:
@@ -114,12 +115,16 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 regs.append(None if reg is None else reg.tobytes())
                 bands.append(None if reg is None else band_keys(reg))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp", "regs", "bands"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "n", "fp", "regs", "bands"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n long, fp binary, regs binary, bands array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, digest binary, n long, fp binary, regs binary, bands array<long>")
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def _matrix(column) -> np.ndarray:
@@ -168,13 +173,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                             break
                         last[doc, fp] = s
                     sets.append(last[doc, fp])
-                if len(sets) == 2 and linked(*sets, percent):
+                if len(sets) == 2 and linked(*sets, percent) and truly_linked(text_a, text_b, k, percent):
                     u.append(a)
                     v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(_texts(docs, ids), "texts")
+    texts = held(_texts(docs, ids))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.mapInArrow(run, "u long, v long")
@@ -219,7 +224,7 @@ def _open_links(members: DataFrame, k: int, percent: int, block: int = 1024) ->
             ys = ys[hopeful(regs[x][None, :], regs[ys], np.full(ys.size, n[x]), n[ys], percent)]
             est, _ = estimate(regs[x][None, :], regs[ys], np.full(ys.size, n[x]), n[ys])
             for y in ys[np.argsort(-est, kind="stable")]:
-                if root[y] != root[x] and full(x).size and full(y).size and linked(full(x), full(y), percent):
+                if root[y] != root[x] and full(x).size and full(y).size and linked(full(x), full(y), percent) and truly_linked(texts[x], texts[y], k, percent):
                     out.append((reps[x], reps[y]))
                     root[root == root[y]] = root[x]
         return pd.DataFrame(out, columns=["u", "v"])
@@ -231,48 +236,56 @@ def _open_links(members: DataFrame, k: int, percent: int, block: int = 1024) ->
     return dealt.groupBy("band", "i", "j").applyInPandas(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``."""
-    spark = docs.sparkSession
+def labelled(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, digest, n, component``; component is null for rows that take no part."""
     sig = stored(signatures(docs, k), "signatures")
     known = sig.where("fp is not null and doc_id is not null")
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = stored(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    sizes = held(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
     stars = banded.join(sizes, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    candidates = stored(_estimated(stars, classes, percent), "stars")
+    candidates = stored(_estimated(stars, classes, percent), "stars", rows=4096)
     links = stored(_confirmed(candidates, docs, k, percent), "links")
-    label = stored(components(links), "labels")
-
-    in_large = stored(banded.join(sizes.where("size > 2").select("band", "size"), "band"), "large")
-    named = stored(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")), "named")
-    open_bands = stored(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "open")
-    ids = stored(named.join(open_bands, "band").select(F.col("rep").alias("doc_id")).distinct(), "members")
-    if ids.limit(1).count():
-        texts = stored(_texts(docs, ids), "texts")
-        about = stored(classes.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text"), "about")
-        members = named.join(open_bands, "band").join(about, "rep")
-        more = stored(_open_links(members, k, percent), "links")
-        label = stored(components(links.unionByName(more)), "labels")
-
-    by_fp = stored(classes.select("fp", F.col("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "classes")
-    rows = sig.select("doc_id", "n", "fp")  # empty sets have no key: they must not meet in one task
+    label = components(links)
+
+    in_large = banded.join(sizes.where("size > 2").select("band", "size"), "band")
+    named = held(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")))
+    open_bands = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    members = held(named.join(open_bands, "band"))
+    if members.limit(1).count():
+        texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+        about = classes.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text")
+        more = stored(_open_links(members.join(about, "rep"), k, percent), "links")
+        label = components(links.unionByName(more))
+        discard(more)
+    discard(members, named, sizes, candidates, links)
+
+    by_fp = classes.select("fp", F.col("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    rows = sig.select("doc_id", "digest", "n", "fp")  # empty sets have no key: they must not meet in one task
     out = rows.where("fp is not null").join(by_fp, "fp", "left").drop("fp")
-    out = out.unionByName(rows.where("fp is null").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
+    return out.unionByName(rows.where("fp is null").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``."""
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return labelled(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id. All columns stay.
 
-    Rows that repeat that doc_id as a whole leave one; a null doc_id stays. All columns stay.
+    Each row follows its own text. Of rows that repeat a doc_id and its text one stays; rows that
+    share the smallest doc_id but not the text all stay, as do rows without a doc_id.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.limit(1).count():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    found = labelled(docs.select("doc_id", "text"), k, percent).where("doc_id is not null")
+    gone = found.where("component <> doc_id").select("doc_id", "digest").distinct()
+    twice = stored(found.where("component is null or component = doc_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"), "twice")
+    # the row travels as one struct, so that no column of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    left = rows.join(gone, ["doc_id", "digest"], "left_anti")
+    if twice.limit(1).count():
+        marked = left.join(twice.withColumn("twice", F.lit(True)), ["doc_id", "digest"], "left")
+        left = marked.where("twice is null").select("row").unionByName(marked.where("twice").dropDuplicates(["doc_id", "digest"]).select("row"))
+    return left.select("row.*")

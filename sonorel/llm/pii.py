@@ -118,6 +118,7 @@ def _candidate(kind: str, weak: bool, start: Column, x: Column, before: Column,
     )
 
 
+BLOCK = 256
 _TYPE = "array<struct<start:int,kind:int,end:int,base:boolean,votes:array<int>,features:array<int>>>"
 
 
@@ -132,8 +133,12 @@ def _located(text: Column, kind: str, weak: bool) -> Column:
             start = acc["at"] + F.length(before)
             return F.struct((start + F.length(x)).alias("at"), F.concat(acc["out"], F.array(_candidate(kind, weak, start, x, before, after))).cast(_TYPE).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_TYPE).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(z["m"])), zero, step, lambda acc: acc["out"])
+        def block(acc: Column, first: Column) -> Column:  # by the block, so that lists stay short while they grow
+            some = F.aggregate(F.sequence(first, F.least(first + BLOCK - 1, F.size(z["m"]))), F.struct(acc["at"].alias("at"), F.array().cast(_TYPE).alias("out")), step)
+            return F.struct(some["at"].alias("at"), F.concat(acc["out"], F.array(some["out"])).cast(f"array<{_TYPE}>").alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_TYPE}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(z["m"]), F.lit(BLOCK)), zero, block, lambda acc: F.flatten(acc["out"]))
 
     found = F.element_at(F.transform(bound, fold), 1)
     return F.when(text.rlike(pattern) & F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS and not weak else text.rlike(pattern), found).otherwise(F.array().cast(_TYPE))
@@ -263,11 +268,15 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` masked and ``n_chars``, if there, recounted; other columns stay, null texts too."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    model = fit(docs.select(candidates(text).alias("candidates")))
-    spans = F.array(F.struct(accepted(model, candidates(text)).alias("s")))
-    masks = F.element_at(F.transform(spans, lambda z: masked(F.col("text"), z["s"])), 1)
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), masks))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the row travels as one struct, so that no column of it can clash; the patterns run once
+    found = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), candidates(text).alias("candidates")), "candidates")
+    model = fit(found)
+    own = F.col("row.text").cast("string")
+    spans = F.array(F.struct(accepted(model, F.col("candidates")).alias("s")))
+    masks = F.when(own.isNotNull(), F.element_at(F.transform(spans, lambda z: masked(own, z["s"])), 1))
+    out = found.select("row", masks.alias("masked"))
+    new = {"text": F.col("masked").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out
+        new["n_chars"] = F.when(F.col("masked").isNotNull(), F.length("masked")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

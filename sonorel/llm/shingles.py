@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. A
 shingle of ``k`` words is hashed over the bytes of its words joined by single spaces with a
-polynomial modulo 2**64 (prefix sums, so any k costs the same) and a mixer.
+polynomial modulo 2**64 (prefix sums, so any k costs the same) and a mixer. Links that the hashes
+find are confirmed on the shingles themselves (``truly_linked``).
 """
 
 from __future__ import annotations
@@ -67,3 +68,17 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = 85) -> bool:
     """Whether 100 * intersection >= percent * union, in whole numbers."""
     both = np.intersect1d(a, b, assume_unique=True).size
     return 100 * both >= percent * (a.size + b.size - both)
+
+
+def true_shingles(text: str, k: int = 5) -> set[bytes]:
+    """The k-word shingles themselves, words joined by single spaces; with fewer words, the whole sequence."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    k = min(k, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def truly_linked(a: str, b: str, k: int = 5, percent: int = 85) -> bool:
+    """Whether 100 * intersection >= percent * union of the shingles themselves, whatever their hashes."""
+    x, y = true_shingles(a, k), true_shingles(b, k)
+    both = len(x & y)
+    return bool(x) and bool(y) and 100 * both >= percent * (len(x) + len(y) - both)

@@ -17,7 +17,7 @@ def valid_rows(column: pa.Array, double: bool) -> list[bytes | None]:
             out.append(None)
             continue
         x = np.asarray(v, "<f8")
-        ok = np.isfinite(x).all() and 0 < float(x @ x) < np.inf
+        ok = np.isfinite(x).all() and x.any()
         out.append(x.astype("<f8" if double else "<f4").tobytes() if ok else None)
     return out
 
@@ -46,12 +46,19 @@ def width_of(df: DataFrame) -> str:
     return "<f8" if is_double(df) else "<f4"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times a power of two each, so that no square overflows or vanishes; no digit changes."""
+    x = np.ascontiguousarray(x, np.float64)
+    _, exponent = np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0))
+    return np.ldexp(x, -exponent)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of ``a`` with rows of ``b`` in double precision, each alike whatever its neighbours are."""
-    a, b = np.ascontiguousarray(a, np.float64), np.ascontiguousarray(b, np.float64)
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))

@@ -359,6 +359,35 @@ def test_near_duplicates(spark, docs, empty):
     assert hm.near_duplicates(empty).count() == 0
 
 
+def test_deduplicated_follows_texts(spark, empty):
+    rng = random.Random(33)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (3, a), (4, b + " x"), (2, c), (5, None), (5, ""), (None, a), (6, "two words"), (7, "two words")]
+    df = spark.createDataFrame([(i, t, i, "r", b"d") for i, t in rows], "doc_id long, text string, _gone long, row string, digest binary")
+    got = hm.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in got.collect()) == sorted([(1, a), (1, b), (2, c), (5, ""), (-1, a), (6, "two words")])
+    assert hm.deduplicated(empty).count() == 0 and hm.deduplicated(empty).columns == empty.columns
+
+
+def test_links_hold_for_the_shingles_themselves():
+    from sonorel.llm.shingles import linked, shingle_set, truly_linked
+
+    rng = random.Random(34)
+    for _ in range(200):
+        x = prose(rng, rng.randint(0, 30)).split()
+        y = [w if rng.random() < 0.97 else "z" for w in x]
+        s, t = " ".join(x), " ".join(y)
+        assert truly_linked(s, t) == bool(len(shingle_set(s)) and len(shingle_set(t)) and linked(shingle_set(s), shingle_set(t)))
+
+
+def test_session_settings_stay(spark, docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hm.near_duplicates(docs).count()
+    packing.pack(docs).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_open_buckets_are_finished(spark):
     """A chain in which the smallest document links to few: stars alone would leave it in pieces."""
     rng = random.Random(10)
@@ -429,6 +458,15 @@ def test_cover_tree_pairs(spark):
     assert cover_tree.linked_vectors(df.where("false")).count() == 0
 
 
+def test_huge_and_tiny_vectors_take_part(spark):
+    rows = [(0, [1e200, 1e200]), (50, [1e-200, 1e-200]), (2, [1.0, 1.0]), (3, [5e-324, 0.0]), (4, [1.0, -1.0]), (5, [0.0, 0.0]), (6, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.linked_vectors(df).collect()}
+    assert got == {0: (3, 0), 50: (3, 0), 2: (3, 0), 6: (3, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+    near = {(r.query_id, r.rank): r.vec_id for r in rabitq.nearest(df).collect()}
+    assert [near[50, k] for k in (1, 2, 3)] == [0, 2, 6] and near[0, 1] in (2, 6, 50)
+
+
 def test_cover_tree_is_one():
     x = np.random.default_rng(13).normal(size=(300, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
