@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sonorel.llm.work import small_batches
 from sonorel.operators import clustering, segmentation, signal, transcript
 from sonorel.plans.models import Model, ToneModel, transcribe_segments
 from sonorel.sources.binary import quantize_q8_0, read_wav, tensor, write_gguf
@@ -100,7 +99,6 @@ def diarize(recordings: DataFrame, options: DiarizeOptions | None = None, factor
     """Transcript rows ``path, idx, speaker, start_s, end_s, language, text, stop_reason`` of all recordings."""
     o = options or DiarizeOptions()
     spark = recordings.sparkSession
-    small_batches(spark, 4)  # a row holds a whole recording
     track = tracks(recordings, o.speaker_mode).hint("merge")  # never broadcast: its size is underestimated
     found = detect(track, o.vad)
     order = Window.partitionBy("path").orderBy("start", "channel", "end")
