@@ -90,7 +90,8 @@ def rank_by_first_start(assignments: DataFrame) -> DataFrame:
     return firsts.select("stream", "cluster", rank.cast("int").alias("speaker_id"))
 
 
-def segment_embedding(samples: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Mean log-mel of a segment alone, normalised; zeros for an empty segment."""
-    v = log_mel(samples[start:end]) if end > start else np.zeros((0, 128))
-    return _unit(v.mean(axis=0)) if len(v) else np.zeros(128)
+def segment_embedding(samples: np.ndarray, start: int, end: int, bank: np.ndarray | None = None) -> np.ndarray:
+    """Mean log-mel of a segment alone, normalised; zeros for an empty segment. ``bank`` are the model's own filters, if it has any."""
+    bins = 128 if bank is None else len(bank)
+    v = log_mel(samples[start:end], "whisper", bank) if end > start else np.zeros((0, bins))
+    return _unit(v.mean(axis=0)) if len(v) else np.zeros(bins)

@@ -13,6 +13,11 @@ from sonorel.functions.text import join_pieces
 
 EOS_IDS = (151645, 151643)  # fixed values: end-of-sequence ids of the LLM decoder
 NO_SPEECH_FALLBACK = 50362  # fixed value: used where the vocabulary has no such token
+#: Special tokens by use, each with the names to try in order.
+SPECIAL_TOKENS = {
+    "start": ["<|startoftranscript|>"], "end": ["<|endoftext|>"], "transcribe": ["<|transcribe|>"], "translate": ["<|translate|>"],
+    "no_speech": ["<|nospeech|>", "<|nocaptions|>"], "no_timestamps": ["<|notimestamps|>"],
+}
 
 
 def best_class(scores: DataFrame) -> DataFrame:
@@ -46,6 +51,45 @@ def cut_at_eos(tokens: Column, eos: tuple[int, ...] = EOS_IDS) -> Column:
     return F.when(ends.isNotNull(), F.slice(tokens, F.lit(1), (ends - 1).cast("int"))).otherwise(tokens)
 
 
+def token_ids(wanted: DataFrame, vocab: DataFrame, defaults: dict[str, int] | None = None) -> DataFrame:
+    """``wanted(use, names)`` to ``(use, id)``: the id of the first of the names that ``vocab(id, piece)`` has.
+
+    A use without any gets its default; without a default its id is null, which ``required`` makes an error.
+    """
+    tried = wanted.select("use", F.posexplode("names").alias("rank", "piece")).join(vocab.select("id", "piece"), "piece")
+    found = tried.groupBy("use").agg(F.min_by("id", "rank").alias("id"))
+    fallback = F.lit(None).cast("int")
+    for use, number in (defaults or {}).items():
+        fallback = F.when(F.col("use") == use, F.lit(number)).otherwise(fallback)
+    return wanted.select("use").join(found, "use", "left").select("use", F.coalesce("id", fallback).cast("int").alias("id"))
+
+
+def required(ids: DataFrame) -> DataFrame:
+    """``(use, id)`` in which every id must be known."""
+    return ids.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("no token for "), F.col("use"))).cast("int")).otherwise(F.col("id")))
+
+
+def special_tokens(vocab: DataFrame) -> DataFrame:
+    """Ids of the special tokens by use; no-speech has two names and a default, the others are required."""
+    wanted = vocab.sparkSession.createDataFrame(list(SPECIAL_TOKENS.items()), "use string, names array<string>")
+    return required(token_ids(wanted, vocab, {"no_speech": NO_SPEECH_FALLBACK}))
+
+
+def largest(scores: DataFrame, n: int = 5) -> DataFrame:
+    """``scores(seq, t, class, score)`` to the ``n`` largest of each step, ``(seq, t, rank, class, score)``; of equals the first class."""
+    rank = F.row_number().over(Window.partitionBy("seq", "t").orderBy(F.desc("score"), "class"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= n).select("seq", "t", "rank", "class", "score")
+
+
+def detokenize(tokens: DataFrame, vocab: DataFrame, special: tuple[int, ...] = (), eos: tuple[int, ...] = EOS_IDS) -> DataFrame:
+    """``tokens(seq, ids)`` to ``(seq, text)``: cut at the end token, special and unknown ids out, byte-level pieces to trimmed text."""
+    kept = cut_at_eos(F.col("ids"), eos)
+    if special:
+        kept = without_special(kept, F.array(*map(F.lit, special)))
+    rows = tokens.select("seq", F.posexplode_outer(kept).alias("t", "tok")).join(vocab.select(F.col("id").alias("tok"), "piece"), "tok", "left")
+    pieces = rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("t", "piece")))).alias("p"))
+    return byte_level_decode(pieces.select("seq", F.transform("p", lambda x: x["piece"]).alias("pieces")))
+
 
 def without_special(tokens: Column, special: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(special, t))
@@ -59,7 +103,7 @@ def suppressed(scores: DataFrame, suppressed_ids: DataFrame) -> DataFrame:
 def bigram_compression(tokens: Column) -> Column:
     """1 / max(0.01, distinct neighbour pairs per pair); 1 for a single token, 0 for none."""
     n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.call_function("shiftleft", a.cast("long"), F.lit(32)).bitwiseOR(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     return F.when(n == 0, 0.0).when(n == 1, 1.0).otherwise(1.0 / F.greatest(F.lit(0.01), F.size(F.array_distinct(pairs)) / (n - 1)))
 
 
@@ -99,37 +143,21 @@ def tdt_greedy(steps: Callable[[int, object], tuple[np.ndarray, np.ndarray]], le
     frame in addition to the last token's duration.
     """
     out: list[int] = []
-    t = 0
-
-    def look(at: int) -> tuple[int, int]:
-        scores, lengths = steps(at, state)
-        d = int(np.argmax(lengths))
-        return int(np.argmax(scores)), durations[d] if d < len(durations) else 1
-
+    t = emitted = 0  # emitted: on this frame
     while t < length:
-        token, d = look(t)
+        scores, lengths = steps(t, state)
+        token, best = int(np.argmax(scores)), int(np.argmax(lengths))
+        skip = durations[best] if best < len(durations) else 1
         if token == blank:
-            t += max(d, 1)
+            t, emitted = t + max(skip, 1), 0
             continue
         out.append(token)
         state = advance(token, state)
-        emitted = 1
-        if d > 0:
-            t += d
-            continue
-        while emitted < max_symbols:
-            token, d = look(t)
-            if token == blank:
-                t += max(d, 1)
-                break
-            out.append(token)
-            state = advance(token, state)
-            emitted += 1
-            if d > 0:
-                t += d
-                break
-        if emitted >= max_symbols:
-            t += 1
+        emitted += 1
+        full = emitted == max_symbols and (emitted > 1 or not skip)
+        t += skip + full
+        if skip or full:
+            emitted = 0
     return out
 
 
@@ -216,14 +244,20 @@ def generate(forward: Callable[[list[int]], np.ndarray], limit: int, eos: tuple[
     return tokens, "max_tokens"
 
 
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte that each character of a byte-level piece stands for.
+BYTES = {chr(b): b for b in _OWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+
+def byte_text(pieces: list[str]) -> str:
+    return bytes(BYTES[c] for p in pieces for c in p if c in BYTES).decode("utf-8", "replace").strip()
+
+
 def byte_level_decode(tokens: DataFrame) -> DataFrame:
     """``tokens(seq, pieces)`` of byte-level pieces to ``(seq, text)``: bytes to text with replacement, trimmed."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [bytes(table[c] for p in pieces for c in p if c in table).decode("utf-8", "replace").strip() for pieces in pdf["pieces"]]
-            yield pd.DataFrame({"seq": pdf["seq"], "text": text})
+            yield pd.DataFrame({"seq": pdf["seq"], "text": [byte_text(pieces) for pieces in pdf["pieces"]]})
 
     return tokens.select("seq", "pieces").mapInPandas(run, f"seq {dict(tokens.dtypes)['seq']}, text string")

@@ -70,9 +70,25 @@ def report_rows(transcript: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
+#: The head of the report's table.
+_TABLE = ["| # | Start | End | Speaker | Lang | Stop | Text |", "|---:|---|---|---|---|---|---|"]
+
+
+def reports(transcript: DataFrame, settings: dict[str, object], key: str = "path") -> DataFrame:
+    """``(path, text)``: the Markdown report of each recording, made where its rows are."""
+    row = F.struct("idx", report_rows(transcript).alias("row"), line_of(F.col("start_s"), F.col("end_s"), F.col("speaker"), F.col("text")).alias("line"))
+    per = transcript.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    head = ["# Diarized transcript", "", *(f"- {k}: {v}" for k, v in settings.items())]
+    parts = [
+        *map(F.lit, head), F.concat(F.lit("- Segments: "), F.size("r").cast("string")), *map(F.lit, ["", "## Segments", "", *_TABLE]),
+        F.array_join(F.transform("r", lambda x: x["row"]), "\n"), *map(F.lit, ["", "## Combined", "", "```text"]), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("```"), F.lit(""),
+    ]
+    return per.select(key, F.array_join(F.array(*parts), "\n").alias("text"))
+
+
 def report(transcript: DataFrame, settings: dict[str, object]) -> str:
     """The Markdown report of one recording; its rows come to the driver, as its file is written there."""
     rows = transcript.orderBy("idx").select(report_rows(transcript).alias("row"), line_of(F.col("start_s"), F.col("end_s"), F.col("speaker"), F.col("text")).alias("line")).collect()
     head = ["# Diarized transcript", "", *(f"- {k}: {v}" for k, v in settings.items()), f"- Segments: {len(rows)}", "", "## Segments", ""]
-    table = ["| # | Start | End | Speaker | Lang | Stop | Text |", "|---:|---|---|---|---|---|---|", *(r.row for r in rows)]
+    table = [*_TABLE, *(r.row for r in rows)]
     return "\n".join([*head, *table, "", "## Combined", "", "```text", *(r.line for r in rows), "```", ""])

@@ -96,7 +96,7 @@ def f1(spark, sf):
     return _table(spark, sf, "events").select("event_id", tx.format_timestamp(F.col("value") - 5).alias("stamp"))
 
 
-@_register("f2_sanitize", """SELECT doc_id, CASE WHEN substr(text, 1, 24) = '' THEN 'speaker' ELSE array_to_string(list_transform(string_split(substr(text, 1, 24), ''),
+@_register("f2_sanitize", """SELECT doc_id, CASE WHEN text = '' THEN 'speaker' ELSE array_to_string(list_transform(string_split(text, ''),
     lambda c: CASE WHEN (c >= 'a' AND c <= 'z') OR (c >= 'A' AND c <= 'Z') OR (c >= '0' AND c <= '9') OR c IN ('_', '-', '.') THEN c ELSE '_' END), '') END AS name FROM documents""")
 def f2(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", tx.sanitize_filename(F.col("text")).alias("name"))
@@ -109,7 +109,7 @@ def f3(spark, sf):
 
 
 @_register("f4_parse_output", """SELECT doc_id, CASE WHEN k = 0 THEN upper(substr(source, 1, 1)) || lower(substr(source, 2)) ELSE '' END AS language, trim(replace(body, chr(10), ' ')) AS text
-    FROM (SELECT doc_id, doc_id % 4 AS k, source, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60) AS body FROM documents)""")
+    FROM (SELECT doc_id, doc_id % 4 AS k, source, regexp_replace(text, '\\s+', ' ', 'g') AS body FROM documents)""")
 def f4(spark, sf):
     d = _table(spark, sf, "documents").withColumn("body", F.regexp_replace("text", r"\s+", " "))
     k = F.col("doc_id") % 4
@@ -370,7 +370,7 @@ def _kmeans_sql(k: int = 3, rounds: int = 6) -> str:
     SELECT a.g AS stream, a.vec_id AS seg_id, CAST(o.n AS INTEGER) AS speaker_id FROM a{rounds - 1} a JOIN o ON o.g = a.g AND o.c = a.c"""
 
 
-@_register("g3_kmeans", _kmeans_sql())
+@_register("g3_kmeans", _kmeans_sql(rounds=25))
 def g3(spark, sf):
     e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("long").alias("stream"), F.col("vec_id").alias("seg_id"), F.col("vec_id").alias("start"), "embedding")
     return cl.cluster_segments(e, 3)
@@ -431,11 +431,8 @@ def a8(spark, sf):
     return tokens(spark, sf).where(F.size("ids") > 1).select("doc_id", F.round(de.bigram_compression(F.col("ids")), 6).alias("ratio"))
 
 
-_LOOPED = "y AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN list_transform(range(0, 140), lambda i: CAST(i % 5 AS INTEGER)) WHEN 1 THEN list_transform(range(0, 127), lambda i: 1) WHEN 2 THEN list_transform(range(0, 300), lambda i: CAST(CASE WHEN i < 200 THEN (i * i + doc_id) % 1009 ELSE i % 13 END AS INTEGER)) ELSE ids END AS ids FROM x)"
-
-
-@_register("o8_repetition", f"""WITH {_IDS}, {_LOOPED} SELECT doc_id, CASE WHEN len(ids) < 128 THEN false ELSE len(list_distinct(ids[len(ids) - 95 : len(ids)])) <= 6
-    OR len(list_filter(range(1, 17), lambda p: ids[len(ids) - 6 * p + 1 : len(ids) - p] = ids[len(ids) - 5 * p + 1 : len(ids)])) > 0 END AS loops FROM y""")
+@_register("o8_repetition", f"""WITH {_IDS} SELECT doc_id, CASE WHEN len(ids) < 128 THEN false ELSE len(list_distinct(ids[len(ids) - 95 : len(ids)])) <= 6
+    OR len(list_filter(range(1, 17), lambda p: ids[len(ids) - 6 * p + 1 : len(ids) - p] = ids[len(ids) - 5 * p + 1 : len(ids)])) > 0 END AS loops FROM x""")
 def o8(spark, sf):
     return tokens(spark, sf).select("doc_id", de.repetition_loop(F.col("ids")).alias("loops"))
 
@@ -507,10 +504,7 @@ def x9(spark, sf):
     return a.select("stream", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-_FEW = _SAMPLES.replace("FROM events)", "FROM events WHERE user_id < 12)")
-
-
-_REFLECT = f"""{_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream), g AS (SELECT stream, n, fr AS frame, j, fr * 8 + j - 16 AS q FROM n, range(100000) r(fr), range(32) u(j) WHERE fr <= n // 8),
+_REFLECT = f"""{_SAMPLES}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream), g AS (SELECT stream, n, fr AS frame, j, fr * 8 + j - 16 AS q FROM (SELECT stream, n, unnest(range(0, n // 8 + 1)) AS fr FROM n), range(32) u(j)),
     fx AS (SELECT g.stream, g.frame, CAST(g.j AS INTEGER) AS j, coalesce(s.x, 0) AS x FROM g LEFT JOIN s ON s.stream = g.stream AND s.i = CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * n - q - 2 ELSE q END)"""
 
 
@@ -519,12 +513,12 @@ def w2(spark, sf):
     return si.frames(samples(spark, sf), 32, 8)
 
 
-@_register("w3_plain_frames", f"WITH {_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT n.stream, fr AS frame, CAST(j AS INTEGER) AS j, s.x FROM n, range(100000) r(fr), range(32) u(j), s WHERE n.n >= 32 AND fr <= (n.n - 32) // 8 AND s.stream = n.stream AND s.i = fr * 8 + j")
+@_register("w3_plain_frames", f"WITH {_SAMPLES}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT g.stream, g.fr AS frame, CAST(g.j AS INTEGER) AS j, s.x FROM (SELECT stream, fr, j FROM (SELECT stream, unnest(range(0, (n - 32) // 8 + 1)) AS fr FROM n WHERE n >= 32), range(32) u(j)) g JOIN s ON s.stream = g.stream AND s.i = g.fr * 8 + g.j")
 def w3(spark, sf):
     return si.frames(samples(spark, sf), 32, 8, "none")
 
 
-@_register("w4_zero_frames", f"WITH {_FEW}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT n.stream, fr AS frame, CAST(j AS INTEGER) AS j, coalesce(s.x, 0) AS x FROM n CROSS JOIN range(100000) r(fr) CROSS JOIN range(32) u(j) LEFT JOIN s ON s.stream = n.stream AND s.i = fr * 8 + j - 12 WHERE n.n + 24 >= 32 AND fr <= (n.n + 24 - 32) // 8")
+@_register("w4_zero_frames", f"WITH {_SAMPLES}, n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream) SELECT g.stream, g.fr AS frame, CAST(g.j AS INTEGER) AS j, coalesce(s.x, 0) AS x FROM (SELECT stream, fr, j FROM (SELECT stream, unnest(range(0, (n - 8) // 8 + 1)) AS fr FROM n WHERE n >= 8), range(32) u(j)) g LEFT JOIN s ON s.stream = g.stream AND s.i = g.fr * 8 + g.j - 12")
 def w4(spark, sf):
     return si.frames(samples(spark, sf), 32, 8, "zero", 24)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonorel.operators import clustering, segmentation, signal, transcript
 from sonorel.plans.models import Model, ToneModel, transcribe_segments
-from sonorel.sources.binary import quantize_q8_0, read_wav, tensor, write_gguf
+from sonorel.sources.binary import QUANTIZERS, array_of, read_wav, write_gguf
+from sonorel.sources.inventory import quantizable
 
 RATE = transcript.TARGET_RATE
 
@@ -27,6 +29,9 @@ class DiarizeOptions:
     language: str | None = None
     overrides: list[str] = field(default_factory=list)
     vad: segmentation.VadConfig = field(default_factory=segmentation.VadConfig)
+    max_tokens: int | None = None
+    #: Filters of the model's own front end, for the mean embeddings of clustering; generated ones where none.
+    bank: np.ndarray | None = None
 
     def __post_init__(self):
         if self.speaker_mode not in ("auto", "channel", "cluster"):
@@ -81,13 +86,13 @@ def detect(track: DataFrame, config: segmentation.VadConfig, detector=segmentati
     return found.select("stream.path", "stream.channel", "start", "end")
 
 
-def _cluster(segments: DataFrame, track: DataFrame, k: int) -> DataFrame:
+def _cluster(segments: DataFrame, track: DataFrame, k: int, bank: np.ndarray | None = None) -> DataFrame:
     """Adds ``speaker_id`` per recording; one group holds one recording's segments of one track."""
     sliced = transcript.segment_samples(segments, track)
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            e = [clustering.segment_embedding(np.asarray(s, np.float64), 0, len(s)) for s in pdf["samples"]]
+            e = [clustering.segment_embedding(np.asarray(s, np.float64), 0, len(s), bank) for s in pdf["samples"]]
             yield pdf[["path", "seg_id", "start"]].assign(embedding=e)
 
     rows = sliced.select("path", "seg_id", "start", "samples").mapInPandas(embed, "path string, seg_id long, start long, embedding array<double>")
@@ -108,20 +113,20 @@ def diarize(recordings: DataFrame, options: DiarizeOptions | None = None, factor
     by_channel = found.where("mode = 'channel'").withColumn("speaker", F.coalesce(F.try_element_at(names, F.col("channel") + 1), F.concat(F.lit("ch"), F.col("channel").cast("string"))))
     mono = found.where("mode = 'cluster'")
     speakers = F.array(*map(F.lit, o.speakers)).cast("array<string>")
-    clustered = _cluster(mono, track, o.num_speakers).withColumn("speaker", transcript.speaker_label(F.col("speaker_id"), speakers)).drop("speaker_id")
+    clustered = _cluster(mono, track, o.num_speakers, o.bank).withColumn("speaker", transcript.speaker_label(F.col("speaker_id"), speakers)).drop("speaker_id")
     if (o.right_num_speakers or 0) >= 2:
         right_name = o.channel_names[1] if len(o.channel_names) > 1 else "ch1"
         right = by_channel.where("channel = 1").withColumn("n", F.count("*").over(Window.partitionBy("path")))
         enough = right.where("n >= 2").drop("n", "speaker")
         right_track = track.where("channel = 1")
-        fine = _cluster(enough, right_track, o.right_num_speakers).withColumn("speaker", transcript.speaker_label(F.col("speaker_id"), F.array(*map(F.lit, o.right_speakers)).cast("array<string>"), right_name)).drop("speaker_id")
+        fine = _cluster(enough, right_track, o.right_num_speakers, o.bank).withColumn("speaker", transcript.speaker_label(F.col("speaker_id"), F.array(*map(F.lit, o.right_speakers)).cast("array<string>"), right_name)).drop("speaker_id")
         by_channel = by_channel.where("channel <> 1").unionByName(right.where("n < 2").drop("n")).unionByName(fine)
     labelled = by_channel.unionByName(clustered)
     overrides = spark.createDataFrame(o.parsed_overrides(), "ordinal int, speaker string, lang string")
     spoken = transcript.resolve_language(labelled, overrides, o.language)
     sliced = spoken.join(track.select("path", "channel", "samples"), ["path", "channel"])
     sliced = sliced.withColumn("samples", F.slice("samples", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    done = transcribe_segments(sliced, factory)
+    done = transcribe_segments(sliced, factory, max_tokens=o.max_tokens, budget="segment")
     return done.select("path", F.col("seg_id").cast("int").alias("idx"), "speaker", (F.col("start") / RATE).alias("start_s"), (F.col("end") / RATE).alias("end_s"), "language", "text", "stop_reason")
 
 
@@ -129,36 +134,81 @@ def diarize_files(spark: SparkSession, path: str, options: DiarizeOptions | None
     return diarize(read_wav(spark, path), options, factory)
 
 
-def transcribe(recordings: DataFrame, factory: Callable[[], Model] = ToneModel, chunk_seconds: int = 30, language: str | None = None) -> DataFrame:
+def transcribe(recordings: DataFrame, factory: Callable[[], Model] = ToneModel, chunk_seconds: int = 30, language: str | None = None, max_tokens: int | None = None) -> DataFrame:
     """``path, text, audio_duration_secs, inference_time_secs, rtf`` by back-to-back chunks, skipping empty texts."""
     track = tracks(recordings, "cluster")
     size = chunk_seconds * RATE
     lengths = track.select(F.col("path").alias("stream"), F.size("samples").alias("n"))
     chunks = segmentation.fixed_chunks(lengths, size).select(F.col("stream").alias("path"), "chunk", "start", "end", F.lit(language).cast("string").alias("lang"))
-    done = transcribe_segments(transcript.segment_samples(chunks, track), factory)
+    done = transcribe_segments(transcript.segment_samples(chunks, track), factory, max_tokens=max_tokens, budget="file")
     text = transcript.joined_chunks(done.select("path", "chunk", "text"))
     total = lengths.select(F.col("stream").alias("path"), (F.col("n") / RATE).alias("audio_duration_secs")).join(done.groupBy("path").agg(F.sum("seconds").alias("inference_time_secs")), "path", "left")
     rtf = F.when(F.col("audio_duration_secs") > 0, F.col("inference_time_secs") / F.col("audio_duration_secs")).otherwise(0.0)
     return total.join(text, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"), "audio_duration_secs", F.coalesce("inference_time_secs", F.lit(0.0)).alias("inference_time_secs"), F.coalesce(rtf, F.lit(0.0)).alias("rtf"))
 
 
-def write_outputs(result: DataFrame, out: str) -> None:
-    """Segments as JSON lines, combined text and a text per speaker, partitioned by recording."""
+def right_channel_status(found: DataFrame, options: DiarizeOptions) -> DataFrame:
+    """``(path, right_channel_clustering)`` of ``found(path, channels, channel)``, one row per segment: what became of the request; null if there was none."""
+    k = options.right_num_speakers
+    per = found.groupBy("path").agg(F.max("channels").alias("channels"), F.count(F.when(F.col("channel") == 1, 1)).alias("n"))
+    if k is None:
+        return per.select("path", F.lit(None).cast("string").alias("right_channel_clustering"))
+    base = options.channel_names[1] if len(options.channel_names) > 1 else "ch1"
+    applies = (F.lit(k) >= 2) & (F.col("channels") == 2) & F.lit(options.speaker_mode != "cluster")
+    enabled = F.format_string(f"enabled (k=%d, base={base}, names={'provided' if options.right_speakers else '-'})", F.least(F.lit(k).cast("long"), F.col("n")))
+    text = F.when(~applies, "requested but not applicable (need stereo + speaker-mode=channel)").when(F.col("n") >= 2, enabled).otherwise(F.format_string(f"requested (k={k}) but skipped (segments=%d)", F.col("n")))
+    return per.select("path", text.alias("right_channel_clustering"))
+
+
+def default_out_dir(prefix: str, now: float | None = None) -> str:
+    """``prefix`` and the second of the epoch."""
+    return f"{prefix}-{int(time.time() if now is None else now)}"
+
+
+def write_text(results: DataFrame, out: str) -> None:
+    """``results(path, text)`` as a text file per recording."""
+    results.select("path", "text").write.mode("overwrite").partitionBy("path").text(out)
+
+
+def write_outputs(result: DataFrame, out: str, settings: dict[str, object] | None = None) -> None:
+    """Segments as JSON lines, and per recording the combined text, a text per speaker under its file's name, and the report.
+
+    The models run once: the result is written first and everything else is made from it.
+    """
     result.write.mode("overwrite").json(f"{out}/segments")
-    transcript.combined_text(result, "path").write.mode("overwrite").json(f"{out}/combined")
-    transcript.per_speaker_text(result, "path").write.mode("overwrite").partitionBy("speaker").json(f"{out}/speakers")
+    rows = result.sparkSession.read.schema(result.schema).json(f"{out}/segments")
+    write_text(transcript.combined_text(rows, "path"), f"{out}/combined")
+    transcript.per_speaker_text(rows, "path").select("path", "file", F.rtrim("text", F.lit("\n")).alias("text")).write.mode("overwrite").partitionBy("path", "file").text(f"{out}/speakers")
+    write_text(transcript.reports(rows, settings or {}), f"{out}/reports")
+
+
+def quantize_tensors(tensors: DataFrame, scope: str, kind: str = "Q8_0", embeddings: bool = False) -> DataFrame:
+    """``tensors(name, rank, dtype, shape, raw)`` below a name prefix to ``(name, type, shape, raw)``, a tensor at a time.
+
+    Blocks where the plan says so and rows fill them, half precision elsewhere.
+    """
+    block = F.element_at("shape", -1) % 32 == 0
+    planned = tensors.where(F.col("name").startswith(scope)).withColumn("blocks", quantizable(F.col("name"), F.col("rank"), embeddings) & F.coalesce(block, F.lit(False)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, dtype, shape, raw, blocks in zip(pdf["name"], pdf["dtype"], pdf["shape"], pdf["raw"], pdf["blocks"]):
+                x = array_of(raw, dtype)
+                out.append((name, kind if blocks else "F16", shape, QUANTIZERS[kind](x) if blocks else x.astype("<f2").tobytes()))
+            yield pd.DataFrame(out, columns=["name", "type", "shape", "raw"])
+
+    return planned.select("name", "dtype", "shape", "raw", "blocks").mapInPandas(run, "name string, type string, shape array<long>, raw binary")
 
 
-def quantize(contents: list[bytes], scope: str, embeddings: bool = False) -> bytes:
-    """A GGUF file of the tensors of some safetensors files: eight-bit blocks where eligible, half precision elsewhere."""
+def quantize(contents: list[bytes], scope: str, embeddings: bool = False, kind: str = "Q8_0", spark: SparkSession | None = None) -> bytes:
+    """A GGUF file of the tensors of some safetensors files; the file is put together where it is written."""
     from sonorel.sources.inventory import safetensors_header
 
-    out = []
-    for content in contents:
-        for name, _, shape, _, _ in safetensors_header(content):
-            if not name.startswith(scope):
-                continue
-            x = tensor(content, name)
-            blocks = len(shape) == 2 and name.endswith(".weight") and "norm" not in name and ("embed_tokens.weight" not in name or embeddings) and shape[-1] % 32 == 0
-            out.append((name, "Q8_0" if blocks else "F16", tuple(shape), quantize_q8_0(x) if blocks else x.astype("<f2").tobytes()))
-    return write_gguf(out, {"general.architecture": "speech"})
+    spark = spark or SparkSession.getActiveSession()
+    rows = [(n, len(shape), dtype, shape, bytearray(c[a:b])) for c in contents for n, dtype, shape, a, b in safetensors_header(c) if n.startswith(scope)]
+    if not rows:
+        return write_gguf([], {"general.architecture": "speech"})
+    table = spark.createDataFrame(rows, "name string, rank int, dtype string, shape array<long>, raw binary").repartition(len(rows))
+    done = {r.name: (r.name, r.type, tuple(r.shape), bytes(r.raw)) for r in quantize_tensors(table, scope, kind, embeddings).collect()}
+    return write_gguf([done[name] for name, *_ in rows], {"general.architecture": "speech"})

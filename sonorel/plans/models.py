@@ -9,7 +9,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from sonorel.functions.text import parse_output, token_budget
+
+RATE = 16000
 
 #: Languages of the multilingual adapter.
 LANGUAGES = "en ru zh de fr es it ja ko pt nl pl ar hi th vi tr id ms sv".split()
@@ -82,22 +86,31 @@ def load(name: str, quantized: bool = False) -> Model:
     return _factories[name]()
 
 
-def transcribe_segments(segments: DataFrame, factory: Callable[[], Model], temperature: float = 0.0) -> DataFrame:
-    """``segments(..., samples, lang)`` with ``text, language, stop_reason, seconds``; the model is made once per task.
+def transcribe_segments(segments: DataFrame, factory: Callable[[], Model], temperature: float = 0.0, max_tokens: int | None = None, budget: str | None = None, parts: int | None = None) -> DataFrame:
+    """``segments(..., start, end, samples, lang)`` with ``text, language, stop_reason, seconds``; the model is made once per task.
 
-    Segments are dealt out evenly first, so one long recording keeps all executors busy.
+    Segments are dealt out evenly first, so that one long recording keeps all executors busy.
+    ``budget`` names the rule by which a segment's length bounds its tokens; ``max_tokens`` overrides it.
+    Texts are trimmed; what a model marked ``raw`` says is parsed into language and text.
     """
+    spark = segments.sparkSession
     keep = [c for c in segments.columns if c not in ("samples", "lang")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in segments.dtypes if c in keep) + ", text string, language string, stop_reason string, seconds double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in segments.dtypes if c in keep) + ", lang string, text string, language string, stop_reason string, seconds double, raw boolean"
+    limit = F.lit(max_tokens).cast("long") if max_tokens or not budget else token_budget(F.size("samples") / RATE, budget)
+    dealt = segments.withColumn("_limit", limit).repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for pdf in batches:
             rows = []
-            for samples, lang in zip(pdf["samples"], pdf["lang"]):
+            for samples, lang, most in zip(pdf["samples"], pdf["lang"], pdf["_limit"]):
                 began = time.perf_counter()
-                got = model.transcribe(np.asarray(samples, np.float32), TranscribeOptions(language=lang or None, temperature=temperature))
-                rows.append((got.text, got.language or "", got.stop_reason, time.perf_counter() - began))
-            yield pdf[keep].assign(**dict(zip(("text", "language", "stop_reason", "seconds"), map(list, zip(*rows)) if rows else ([], [], [], []))))
-
-    return segments.mapInPandas(run, schema)
+                got = model.transcribe(np.asarray(samples, np.float32), TranscribeOptions(language=lang or None, max_tokens=None if pd.isna(most) else int(most), temperature=temperature))
+                rows.append((lang, got.text.strip(), got.language or "", got.stop_reason, time.perf_counter() - began, getattr(model, "raw", False)))
+            names = ("lang", "text", "language", "stop_reason", "seconds", "raw")
+            yield pdf[keep].assign(**dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names])))
+
+    done = dealt.mapInPandas(run, schema)
+    parsed = parse_output(F.col("text"))
+    unforced = F.col("raw") & F.coalesce(F.col("lang") == "", F.lit(True))
+    return done.withColumns({"text": F.when(unforced, parsed["text"]).otherwise(F.col("text")), "language": F.when(unforced, parsed["language"]).otherwise(F.col("language"))}).drop("raw", "lang")

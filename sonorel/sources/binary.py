@@ -58,14 +58,18 @@ def encode_wav(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """``(path, sample_rate, channels, samples)`` of WAV files, one row each."""
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` of WAV bytes to ``(path, sample_rate, channels, samples)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, *decode_wav(c)) for p, c in zip(pdf["path"], pdf["content"])]
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "samples"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, sample_rate int, channels int, samples array<float>")
+    return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, channels int, samples array<float>")
 
 
 def read_filters(spark: SparkSession, path: str, n_mels: int, n_fft: int) -> DataFrame:
@@ -84,15 +88,41 @@ def read_filters(spark: SparkSession, path: str, n_mels: int, n_fft: int) -> Dat
 
 
 def read_safetensors(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, name, dtype, shape, rank, bytes)`` of all tensors, from headers."""
+    """``(path, name, dtype, shape, rank, bytes)`` of all tensors: only the header of each file is read, whatever its size."""
+    rows = []
+    for p, head in _heads(spark, path):
+        rows += [(p, n, d, s, len(s), e - b) for n, d, s, b, e in safetensors_header(head)]
+    return spark.createDataFrame(rows, "path string, name string, dtype string, shape array<long>, rank int, bytes long")
+
+
+def _heads(spark: SparkSession, path: str) -> list[tuple[str, bytes]]:
+    """Name and header bytes of the safetensors files that a path or pattern names; a model has a few, of some KB each."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    out = []
+    for status in fs.globStatus(p) or []:
+        files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in files:
+            if f.isFile() and (not status.isDirectory() or f.getPath().getName().endswith(".safetensors")):
+                stream = fs.open(f.getPath())
+                try:
+                    size = bytes(stream.readNBytes(8))
+                    out.append((f.getPath().toString(), size + bytes(stream.readNBytes(int.from_bytes(size, "little")))))
+                finally:
+                    stream.close()
+    return sorted(out)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, shape, data)`` of ``.npy`` files of floats."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, n, d, s, len(s), e - b) for p, c in zip(pdf["path"], pdf["content"]) for n, d, s, b, e in safetensors_header(c)]
-            yield pd.DataFrame(rows, columns=["path", "name", "dtype", "shape", "rank", "bytes"])
+            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in pdf["content"]]
+            yield pd.DataFrame({"path": pdf["path"], "shape": [list(a.shape) for a in arrays], "data": [a.astype(np.float32).ravel() for a in arrays]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, name string, dtype string, shape array<long>, rank int, bytes long")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, shape array<long>, data array<float>")
 
 
 _DTYPES = {"F32": "<f4", "F64": "<f8", "F16": "<f2", "I32": "<i4", "I64": "<i8", "U8": "u1"}
@@ -102,13 +132,26 @@ def tensor(content: bytes, name: str) -> np.ndarray:
     """One tensor of a safetensors file; bfloat16 is widened to float."""
     for n, dtype, shape, begin, end in safetensors_header(content):
         if n == name:
-            raw = content[begin:end]
-            if dtype == "BF16":
-                return (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32).reshape(shape)
-            return np.frombuffer(raw, _DTYPES[dtype]).reshape(shape)
+            return array_of(content[begin:end], dtype).reshape(shape)
     raise KeyError(name)
 
 
+def array_of(raw: bytes, dtype: str) -> np.ndarray:
+    if dtype == "BF16":
+        return (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
+    return np.frombuffer(raw, _DTYPES[dtype])
+
+
+def bank_from_weights(content: bytes, prefix: str = "preprocessor.featurizer.") -> tuple[np.ndarray, np.ndarray | None]:
+    """Filters (bins, n_fft / 2 + 1) and, if it is there, the window, from a model's own weights."""
+    bank = np.asarray(tensor(content, prefix + "fb"), np.float64)
+    try:
+        window = np.asarray(tensor(content, prefix + "window"), np.float64).ravel()
+    except KeyError:
+        window = None
+    return bank.reshape(bank.shape[-2:]), window
+
+
 def quantize_q8_0(x: np.ndarray) -> bytes:
     """Blocks of 32: a half-precision scale and 32 signed bytes (the public Q8_0 layout)."""
     b = np.asarray(x, np.float32).reshape(-1, 32)
@@ -122,7 +165,24 @@ def dequantize_q8_0(raw: bytes, n: int) -> np.ndarray:
     return (np.ascontiguousarray(b[:, :2]).view("<f2").astype(np.float32) * np.ascontiguousarray(b[:, 2:]).view(np.int8)).ravel()[:n]
 
 
-_GGML = {"F32": 0, "F16": 1, "Q8_0": 8}
+def quantize_q4_0(x: np.ndarray) -> bytes:
+    """Blocks of 32: a half-precision scale and 16 bytes of two four-bit numbers (the public Q4_0 layout)."""
+    b = np.asarray(x, np.float32).reshape(-1, 32)
+    top = b[np.arange(len(b)), np.abs(b).argmax(axis=1)]
+    d = top / -8
+    q = np.clip(np.floor(np.where(d[:, None] != 0, b / np.where(d != 0, d, 1)[:, None], 0) + 8.5), 0, 15).astype(np.uint8)
+    packed = q[:, :16] | q[:, 16:] << 4
+    return b"".join(s.tobytes() + r.tobytes() for s, r in zip(d.astype("<f2"), packed))
+
+
+def dequantize_q4_0(raw: bytes, n: int) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, 18)[: -(-n // 32)]
+    q = np.concatenate([b[:, 2:] & 15, b[:, 2:] >> 4], axis=1).astype(np.float32) - 8
+    return (np.ascontiguousarray(b[:, :2]).view("<f2").astype(np.float32) * q).ravel()[:n]
+
+
+QUANTIZERS = {"Q8_0": quantize_q8_0, "Q4_0": quantize_q4_0}
+_GGML = {"F32": 0, "F16": 1, "Q4_0": 2, "Q8_0": 8}
 
 
 def write_gguf(tensors: list[tuple[str, str, tuple[int, ...], bytes]], metadata: dict[str, str] | None = None, align: int = 32) -> bytes:

@@ -105,6 +105,14 @@ def vocabulary(texts: DataFrame, shape: str) -> DataFrame:
     raise ValueError(f"no vocabulary shape {shape}")
 
 
+def tokenizer_vocabulary(texts: DataFrame) -> DataFrame:
+    """``texts(json)`` of ``tokenizer.json`` files to ``(id, piece, special)``: the model's pieces and the added tokens."""
+    spec = F.from_json("json", "model struct<vocab:map<string,int>>, added_tokens array<struct<id:int,content:string,special:boolean>>")
+    own = texts.select(F.explode(spec["model"]["vocab"]).alias("piece", "id")).select("id", "piece", F.lit(False).alias("special"))
+    added = texts.select(F.explode(spec["added_tokens"]).alias("t")).select(F.col("t.id").alias("id"), F.col("t.content").alias("piece"), F.coalesce("t.special", F.lit(False)).alias("special"))
+    return own.join(added, "id", "left_anti").unionByName(added)
+
+
 def safetensors_header(content: bytes) -> list[tuple[str, str, list[int], int, int]]:
     """(name, dtype, shape, begin, end) of each tensor of a safetensors file, from its JSON header."""
     size = int.from_bytes(content[:8], "little")
