@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorel.llm.components import components
 from sonorel.llm.shingles import fingerprint, linked, mix, shingle_set, truly_linked
-from sonorel.llm.work import discard, held, stored
+from sonorel.llm.work import arrow_rows, discard, held, stored
 
 BUCKETS, MANTISSA, BANDS, ROWS_PER_BAND = 128, 10, 25, 5
 EMPTY = 0xFFFF
@@ -245,9 +245,10 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     banded = classes.select("rep", F.explode("bands").alias("band"))
     sizes = held(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
     stars = banded.join(sizes, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    candidates = stored(_estimated(stars, classes, percent), "stars", rows=4096)
-    links = stored(_confirmed(candidates, docs, k, percent), "links")
-    label = components(links)
+    with arrow_rows(docs.sparkSession, 512):
+        candidates = held(_estimated(stars, classes, percent))
+        links = held(_confirmed(candidates, docs, k, percent))
+        label = components(links)
 
     in_large = banded.join(sizes.where("size > 2").select("band", "size"), "band")
     named = held(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")))
@@ -256,8 +257,9 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     if members.limit(1).count():
         texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
         about = classes.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text")
-        more = stored(_open_links(members.join(about, "rep"), k, percent), "links")
-        label = components(links.unionByName(more))
+        more = held(_open_links(members.join(about, "rep"), k, percent))
+        if more.limit(1).count():
+            label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
         discard(more)
     discard(members, named, sizes, candidates, links)
 
@@ -281,7 +283,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """
     found = labelled(docs.select("doc_id", "text"), k, percent).where("doc_id is not null")
     gone = found.where("component <> doc_id").select("doc_id", "digest").distinct()
-    twice = stored(found.where("component is null or component = doc_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"), "twice")
+    twice = held(found.where("component is null or component = doc_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"))
     # the row travels as one struct, so that no column of it can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
     left = rows.join(gone, ["doc_id", "digest"], "left_anti")
