@@ -5,10 +5,14 @@ dozen space-led chunks (no pre-token crosses a chunk's edge), each node holds th
 tokens below it. An edit walks down to the chunks it touches, takes one more on either side as
 context, encodes only that region anew and puts the sums right on the way up.
 
+Trees are kept as a table (``trees``), one row a document; ``apply_edits`` takes that table and
+edits, encodes nothing but the touched regions, and gives the table anew.
+
 The count is that of the byte-level vocabulary; strings of special tokens count as ordinary
-text. Initial counts encode every whole text.
+text. Only ``trees`` encodes whole texts.
 
-Defined results: a null text is empty; a null edit list is empty; edits apply in order to the
+Defined results: a null text is empty; a null edit list is empty, a null edit is none, and null
+places and lengths are 0, null insertions empty; edits apply in order to the
 text as it then stands; places and lengths are clipped to it; repeated rows and null doc_ids
 each get their own row; extra columns are not carried.
 """
@@ -21,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorel.llm.byte_bpe import Encoder, chunked, default_path, encoder, gathered
+from sonorel.llm.byte_bpe import Encoder, chunked, default_path, encoder
+from sonorel.llm.work import stored
 from sonorel.shipping import ship
 
 LEAF = 64
@@ -122,36 +127,84 @@ class TokenTree:
             self._build()
 
 
-def edited_counts(docs: DataFrame, edits: Column, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_chars_edited, n_chars_reencoded`` of every row.
+TREE = "doc_id long, text string, lengths binary, counts binary, n_tokens long"
+EDITS = "array<struct<start:int,deleted:int,inserted:string>>"
 
-    ``edits`` is an array of (start int, deleted int, inserted string) on ``docs``.
+
+def trees(docs: DataFrame, path: str | None = None, edits: Column | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: its text, the characters and tokens of each of its chunks, and their total.
+
+    This is what a tree is kept as (write it where it shall last): inner sums are made from the leaves in one pass.
+    ``edits``, a column on ``docs``, is carried along.
     """
     path = path or default_path()
     ship(docs.sparkSession)
+    carried = edits is not None
 
     def run(batches):
         enc = encoder(path)
-        for batch in gathered(batches):
-            texts, all_edits = batch.column("text"), batch.column("edits").to_pylist()
-            out = {k: [] for k in ("n_tokens", "n_tokens_edited", "n_edits", "n_chars_edited", "n_chars_reencoded")}
+        for batch in batches:
+            texts = batch.column("text").fill_null("")
+            lengths, numbers, totals = [], [], []
             for i, j, c in chunked(texts):
                 counts = enc.counts(c)
-                raw = c.buf.tobytes()
-                starts, ends = c.starts.tolist(), c.ends.tolist()
-                for row in range(j - i):
-                    a, b = int(c.first[row]), int(c.first[row + 1])
-                    tree = TokenTree([raw[s:e].decode("utf-8") for s, e in zip(starts[a:b], ends[a:b])], counts[a:b].tolist(), enc)
-                    before = tree.total
-                    edits_ = all_edits[i + row] or []
-                    for e in edits_:
-                        tree.edit(e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
-                    for k, v in zip(out, (before, tree.total, len(edits_), tree.chars[1], tree.reencoded)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in out.values())], names=["doc_id", *out])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits.cast("array<struct<start:int,deleted:int,inserted:string>>").alias("edits"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_chars_edited long, n_chars_reencoded long")
+                chars = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])
+                sizes = (chars[c.ends] - chars[c.starts]).astype("<u4")
+                for a, b in zip(c.first[:-1].tolist(), c.first[1:].tolist()):
+                    lengths.append(sizes[a:b].tobytes())
+                    numbers.append(counts[a:b].astype("<u4").tobytes())
+                    totals.append(int(counts[a:b].sum()))
+            names = ["doc_id", "text", "lengths", "counts", "n_tokens"]
+            columns = [batch.column("doc_id"), texts, pa.array(lengths, pa.binary()), pa.array(numbers, pa.binary()), pa.array(totals, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("edits")] if carried else columns, names=[*names, "edits"] if carried else names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([edits.cast(EDITS).alias("edits")] if carried else []))
+    return rows.mapInArrow(run, f"{TREE}, edits {EDITS}" if carried else TREE)
+
+
+def apply_edits(kept: DataFrame, edits: Column, path: str | None = None, keep: bool = True) -> DataFrame:
+    """The trees of ``kept`` after an array of (start int, deleted int, inserted string) each: only touched regions are encoded.
+
+    Rows of ``trees`` with ``n_tokens_before, n_edits, n_chars, n_chars_reencoded`` added, to be kept in turn; without ``keep``
+    the numbers alone.
+    """
+    path = path or default_path()
+    ship(kept.sparkSession)
+    numbers = ["n_tokens", "n_tokens_before", "n_edits", "n_chars", "n_chars_reencoded"]
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            out, whole = {k: [] for k in numbers}, {k: [] for k in ("text", "lengths", "counts")}
+            for text, lengths, counts, before, some in zip(*(batch.column(c).to_pylist() for c in ("text", "lengths", "counts", "n_tokens", "edits"))):
+                ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+                tree = TokenTree([text[a:b] for a, b in zip([0, *ends], ends)], np.frombuffer(counts, "<u4").tolist(), enc)
+                some = [e for e in some or [] if e]
+                for e in some:
+                    tree.edit(e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
+                for k, v in zip(numbers, (tree.total, before, len(some), tree.chars[1], tree.reencoded)):
+                    out[k].append(v)
+                if keep:
+                    flat = [(c, n) for chunks, own in tree.leaves for c, n in zip(chunks, own)]
+                    whole["text"].append("".join(c for c, _ in flat))
+                    whole["lengths"].append(np.array([len(c) for c, _ in flat], "<u4").tobytes())
+                    whole["counts"].append(np.array([n for _, n in flat], "<u4").tobytes())
+            more = [pa.array(whole["text"], pa.string()), pa.array(whole["lengths"], pa.binary()), pa.array(whole["counts"], pa.binary())] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more, *(pa.array(v, pa.int64()) for v in out.values())], names=["doc_id", *(whole if keep else ()), *out])
+
+    rows = kept.select("doc_id", "text", "lengths", "counts", "n_tokens", edits.cast(EDITS).alias("edits"))
+    tree = "text string, lengths binary, counts binary, " if keep else ""
+    return rows.mapInArrow(run, f"doc_id long, {tree}" + ", ".join(f"{k} long" for k in numbers))
+
+
+def edited_counts(docs: DataFrame, edits: Column, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_chars_edited, n_chars_reencoded`` of every row: trees are kept, then edited.
+
+    ``edits`` is an array of (start int, deleted int, inserted string) on ``docs``.
+    """
+    kept = stored(trees(docs, path, edits), "trees")
+    done = apply_edits(kept, F.col("edits"), path, keep=False)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", F.col("n_chars").alias("n_chars_edited"), "n_chars_reencoded")
 
 
 def standard_edits(text: Column) -> Column:

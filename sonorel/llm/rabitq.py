@@ -7,30 +7,36 @@ error bound that shrinks with the root of the dimension (Gao and Long 2024). A c
 upper bound reaches the k-th best lower bound seen is reranked on the original vectors in
 double precision.
 
-All rows are coded, in blocks of 1024; queries travel in blocks of 512 to every code block, and
-a block returns at most k rows a query, so nothing is gathered beyond k rows per query and
-block. No code is compared twice and no candidate is capped: equal vectors within a block share
-one code, and of their ids the k + 1 smallest can ever rank.
+All rows are coded, in blocks of 1024, and so are the queries, in blocks of 512. Codes are dealt
+into lanes and queries into lanes, every pair of lanes is a task's work, and their numbers follow
+from the amount of work and the cluster, so that what travels is least. A task keeps the k best
+exact scores of each query while blocks pass by, so that bounds get sharper as it goes, and returns
+k rows a query. No candidate is capped: equal vectors within a block share one code, and of their
+ids the k + 1 smallest can ever rank.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components,
 and rows with a null vec_id, are neither queries nor candidates; with fewer than k candidates all are
 returned; ties go to the smaller vec_id; vectors of another length than the query's are no
-candidates; a repeated row counts once per repetition of its id.
+candidates; a repeated row counts once per repetition of its id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sonorel.llm.vectors import cosines, read_vectors, unit, width_of
-from sonorel.llm.work import stored
+from sonorel.llm.work import discard, stored
 
-BLOCK, QUERY_BLOCK, LANES = 1024, 512, 16
+BLOCK, QUERY_BLOCK, TASK = 1024, 512, 1 << 23
 EPSILON = 4.0  # standard errors of the estimate that the bounds allow
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, seed: int = 9) -> np.ndarray:
     q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -83,36 +89,61 @@ def block_rows(vectors: DataFrame, width: str, size: int, coded: bool) -> DataFr
     return vectors.select("vec_id", "vec").mapInArrow(run, "dim int, ids binary, vecs binary, codes binary, own binary")
 
 
-def best_of_block(q_ids, q, ids, x, codes, own, k: int):
-    """``(query, score, vec_id)`` rows, at most k a query: the block's nearest, reranked exactly."""
+class Best:
+    """The nearest found so far of the queries of one block: exact scores, and ids, of ``k`` each."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.scores = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, own: np.ndarray, kinds: np.ndarray, begin: np.ndarray, by_kind: np.ndarray) -> None:
+        """Rerank what of a code block the bounds do not rule out. Equal vectors are one kind; ``by_kind`` lists their rows by id."""
+        k = self.k
+        est, err = estimates(codes[kinds], own[kinds], unit(self.q), rotation(x.shape[1]))
+        take = min(k + 1, len(kinds))  # one more: the query itself may be among them
+        low = np.partition(est - err, len(kinds) - take, axis=1)[:, len(kinds) - take] if take == k + 1 else np.full(len(est), -np.inf)
+        rows, cols = np.nonzero(est + err >= np.maximum(low, self.scores[:, -1] - 1e-9)[:, None])
+        if not len(rows):
+            return
+        scores = np.concatenate([cosines(self.q[rows[s : s + 65536]], x[kinds[cols[s : s + 65536]]]) for s in range(0, len(rows), 65536)])
+        good = scores >= self.scores[rows, -1]
+        rows, cols, scores = rows[good], cols[good], scores[good]
+        copies = np.minimum(begin[cols + 1] - begin[cols], k + 1)  # of equal vectors no more can rank
+        place = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+        rows, scores, found = np.repeat(rows, copies), np.repeat(scores, copies), ids[by_kind[np.repeat(begin[cols], copies) + place]]
+        other = found != self.ids[rows]
+        rows, scores, found = rows[other], scores[other], found[other]
+        touched = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(touched, k)])
+        scores, found = np.concatenate([scores, self.scores[touched].ravel()]), np.concatenate([found, self.found[touched].ravel()])
+        order = np.lexsort((found, -scores, rows))
+        rows, scores, found = rows[order], scores[order], found[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = rank < k
+        self.scores[rows[best], rank[best]], self.found[rows[best], rank[best]] = scores[best], found[best]
+
+    def rows(self) -> pa.RecordBatch:
+        there = np.isfinite(self.scores)
+        query = np.repeat(self.ids, self.k).reshape(self.scores.shape)
+        return pa.RecordBatch.from_arrays([pa.array(query[there]), pa.array(self.scores[there]), pa.array(self.found[there])], names=["query_id", "score", "vec_id"])
+
+
+def _kinds(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of each kind of equal vectors; where each kind's rows begin in the list of rows by kind and id; that list."""
     order = np.argsort(ids, kind="stable")
     view = np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     _, first, inverse = np.unique(view, return_index=True, return_inverse=True)
-    sorted_ids = ids[order]
-    by_kind = np.argsort(inverse, kind="stable")  # ids ascend within a kind
-    begin = np.searchsorted(inverse[by_kind], np.arange(len(first)))
-    copies = np.diff(np.append(begin, len(ids)))
-    rotate = rotation(x.shape[1])
-    kinds = order[first]
-    est, err = estimates(codes[kinds], own[kinds], unit(q), rotate)
-    out = []
-    take = min(k + 1, len(first))  # one more: the query itself may be among them
-    low = np.partition(est - err, len(first) - take, axis=1)[:, len(first) - take]
-    for row in range(len(q)):
-        pick = np.flatnonzero(est[row] + err >= low[row])
-        scores = cosines(np.broadcast_to(q[row], (len(pick), q.shape[1])), x[kinds[pick]])
-        best = np.argsort(-scores, kind="stable")
-        found: list[tuple[float, int]] = []
-        for p in best:
-            if len(found) >= k and scores[p] < found[k - 1][0]:
-                break
-            kind = pick[p]
-            own_ids = sorted_ids[by_kind[begin[kind] : begin[kind] + min(copies[kind], k + 1)]]
-            found += [(float(scores[p]), int(i)) for i in own_ids if i != q_ids[row]]
-            found.sort(key=lambda s: (-s[0], s[1]))
-            del found[k:]
-        out += [(int(q_ids[row]), s, i) for s, i in found]
-    return out
+    by_kind = np.argsort(inverse, kind="stable")
+    begin = np.append(np.searchsorted(inverse[by_kind], np.arange(len(first))), len(ids))
+    return order[first], begin, order[by_kind]
+
+
+def lanes(vectors: int, queries: int, partitions: int) -> tuple[int, int]:
+    """Into how many lanes codes and queries are dealt: a task for every ``TASK`` comparisons, at most 16 per partition, of least travel."""
+    tasks = min(max(1, math.ceil(vectors * queries / TASK)), 16 * partitions)
+    of_codes = min(tasks, max(1, round(math.sqrt(tasks * vectors / max(queries, 1)))))
+    return of_codes, math.ceil(tasks / of_codes)
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -120,23 +151,34 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     spark = df.sparkSession
     width = width_of(df)
     vectors = stored(read_vectors(df, width).where("vec is not null and vec_id is not null").select("vec_id", "vec"), "vectors")
-    codes = block_rows(vectors, width, BLOCK, True).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)))
+    n, q = vectors.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    a, b = lanes(n, q, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(rows: DataFrame, own: str, number: int, other: str, others: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64(F.col(rows.columns[1])), F.lit(number))).withColumn(other, each)
+
+    codes = dealt(block_rows(vectors, width, BLOCK, True), "a", a, "b", b)
     queries = block_rows(vectors.where(f"vec_id % {every} = 0"), width, QUERY_BLOCK, False)
-    queries = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))).alias("lane"))
-    met = codes.join(queries, ["dim", "lane"])
+    queries = dealt(queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q")), "b", b, "a", a)
+    met = codes.join(queries, ["dim", "a", "b"])
 
     def run(batches):
+        best: dict[tuple, Best] = {}  # k rows a query of this task
+        last: tuple = (None,)
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                ids = np.frombuffer(r["ids"], "<i8")
-                rows = best_of_block(
-                    np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q"], width).reshape(-1, dim), ids, np.frombuffer(r["vecs"], width).reshape(-1, dim),
-                    np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["own"], np.float64), k,
-                )
-                cols = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["query_id", "score", "vec_id"])
+                if last[0] != (dim, r["ids"]):
+                    ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vecs"], width).reshape(-1, dim)
+                    last = (dim, r["ids"]), (ids, x, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["own"], np.float64), *_kinds(ids, x))
+                if (dim, r["q_ids"]) not in best:
+                    best[dim, r["q_ids"]] = Best(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q"], width).reshape(-1, dim), k)
+                best[dim, r["q_ids"]].see(*last[1])
+        for some in best.values():
+            yield some.rows()
 
     best = stored(met.mapInArrow(run, "query_id long, score double, vec_id long"), "best", rows=16)
+    discard(vectors)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -164,6 +165,35 @@ def test_languages_beyond_one_group_are_learned(spark):
     assert abs(model.shares(np.array([0, 5]), np.array([0.6, 0.8])).sum() - 1) < 1e-12
 
 
+def test_predictions_by_plain_counting(spark):
+    rng = random.Random(12)
+    words = {"aa": "ono moko tulu raba".split(), "bb": "esti fern whig stad".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(20)), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    df = spark.createDataFrame(rows + [(200, "", "aa"), (201, "123", None), (None, "ono ono", None)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    for r in langid.predict(df, model).collect():
+        text = {i: t for i, t, _ in rows}.get(r.doc_id, {201: "123", None: "ono ono"}.get(r.doc_id, ""))
+        if not re.search("[a-z]", text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = {}
+        padded = f" {text.lower()} "
+        for at in range(len(padded)):
+            h = 0
+            for n in range(min(langid.ORDERS, len(padded) - at)):
+                h = ((h ^ ord(padded[at + n])) * langid._MULTIPLY[n]) % (1 << 32)
+                h ^= h >> 15
+                f = h % langid.FEATURES
+                counts[f] = counts.get(f, 0) + 1
+        x = {f: (1 + math.log(c)) * model.idf[f] for f, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [sum(v / norm * model.weights[f, k] for f, v in x.items()) / model.temperature for k in range(2)]
+        p = [math.exp(z - max(logits)) for z in logits]
+        best = p.index(max(p))
+        assert r.lang_pred == model.languages[best] and abs(r.score - max(p) / sum(p)) < 1e-4
+        assert r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     ftrl = langid.FTRL(50, 2, l1=0.5)
@@ -605,6 +635,21 @@ def test_edits_equal_a_full_count(docs, empty):
     assert long.n_chars_reencoded < long.n_chars_edited / 50
 
 
+def test_kept_trees_take_edits_in_turn(spark, docs, empty):
+    enc = byte_bpe.encoder(byte_bpe.default_path())
+    rows = [(1, "one two three", [(4, 4, "2 "), None, (None, None, "zero ")]), (2, None, [(0, 5, "new")]), (3, "text", None), (4, "", [(-3, 99, None)])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, e array<struct<start:int,deleted:int,inserted:string>>")
+    kept = edit_counts.trees(df, edits=F.col("e"))
+    once = edit_counts.apply_edits(kept, F.col("edits"))
+    assert {r.doc_id: r.text for r in once.collect()} == {1: "zero one 2 three", 2: "new", 3: "text", 4: ""}
+    twice = edit_counts.apply_edits(once, edit_counts.standard_edits(F.col("text"))).collect()
+    for r in [*once.collect(), *twice]:
+        assert r.n_tokens == len(enc.raw(r.text)) and sum(np.frombuffer(r.counts, "<u4")) == r.n_tokens and sum(np.frombuffer(r.lengths, "<u4")) == len(r.text) == r.n_chars
+    for r in edit_counts.apply_edits(edit_counts.trees(docs), edit_counts.standard_edits(F.col("text"))).collect():
+        assert r.n_tokens == len(enc.raw(r.text))
+    assert edit_counts.trees(empty).count() == 0
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
