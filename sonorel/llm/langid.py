@@ -26,7 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorel.llm.work import stored
+from sonorel.llm.work import discard, held
+from sonorel.shipping import ship
 
 FEATURES = 1 << 15
 ORDERS = 4
@@ -182,12 +183,14 @@ def train(docs: DataFrame, sample_rows: int = 4000, max_languages: int = 64, epo
         n = len(seen)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.append(df[seen[:-1]], rows)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["feature", "df", "lang", "draw", "idx", "tf"])
 
-    found = stored(learn.withColumn("drawn", drawn).mapInArrow(run, "feature long, df long, lang string, draw long, idx binary, tf binary"), "ngrams")
+    ship(docs.sparkSession)
+    found = held(learn.withColumn("drawn", drawn).mapInArrow(run, "feature long, df long, lang string, draw long, idx binary, tf binary"))
     counts = found.where("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()  # at most 2**15 + 1 rows
     df = np.zeros(FEATURES + 1)
     df[counts["feature"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     sample = found.where("lang is not null").select("lang", "draw", "idx", "tf").toPandas()  # about sample_rows rows
+    discard(found)
     sample = sample.sort_values(["draw", "lang"], kind="stable")
     languages = sorted(per_lang)
     number = {lang: i for i, lang in enumerate(languages)}

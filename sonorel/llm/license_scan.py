@@ -24,8 +24,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Words of a text before its A-Z are lower-cased: A-Z belong to them.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -54,8 +54,11 @@ _END = -1
 _HIT = "w string, v string, template int, place int, pairs int, phrase boolean"
 
 
-def _low(word: Column) -> Column:
-    return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
+def words_of(text: Column) -> Column:
+    """A text's words. Lower-casing more than A-Z moves no word's edge and makes no word of the templates, but for the Kelvin sign."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.contains(text, F.lit("\u212a")), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def _templates(spark) -> DataFrame:
@@ -66,21 +69,20 @@ def _templates(spark) -> DataFrame:
             raise ValueError(f"a template has 2 to 63 words: {text}")
         rows += [(a, b, number, j, len(w) - 1, text in PHRASES) for j, (a, b) in enumerate(zip(w, w[1:]))]
     table = spark.createDataFrame(rows, _HIT)
-    return table.withColumn("gram", F.when(F.col("template") == _END, F.lit(0)).otherwise(F.xxhash64(F.lower("w"), F.lower("v"))))
+    return table.withColumn("gram", F.when(F.col("template") == _END, F.lit(0)).otherwise(F.xxhash64("w", "v")))
 
 
 def _hits(docs: DataFrame) -> DataFrame:
     """Places where a text's word pair stands in a template, and one row of template _END for each document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     rows = rows.withColumn("n_words", F.size("words"))
     # the place after the last word stands for the document itself
     placed = rows.select("row", "doc_id", "n_words", "words", F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("pos"))
     pairs = placed.select("row", "doc_id", "n_words", "pos", F.get("words", F.col("pos")).alias("a"), F.get("words", F.col("pos") + 1).alias("b"))
     pairs = pairs.where(F.col("b").isNotNull() | (F.col("pos") == F.col("n_words")))
-    pairs = pairs.withColumn("gram", F.when(F.col("b").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lower("a"), F.lower("b"))))
+    pairs = pairs.withColumn("gram", F.when(F.col("b").isNull(), F.lit(0)).otherwise(F.xxhash64("a", "b")))
     ends = F.col("b").isNull() & (F.col("template") == _END)
-    met = pairs.join(F.broadcast(_templates(docs.sparkSession)), "gram").where(ends | (_low(F.col("a")) == F.col("w")) & (_low(F.col("b")) == F.col("v")))
+    met = pairs.join(F.broadcast(_templates(docs.sparkSession)), "gram").where(ends | (F.col("a") == F.col("w")) & (F.col("b") == F.col("v")))
     diagonal = F.when(F.col("template") == _END, F.lit(0)).otherwise(F.col("pos") - F.col("place"))
     return met.select("row", "doc_id", "n_words", "template", "place", "pairs", "phrase", diagonal.alias("diagonal"))
 
