@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorel.llm.components import components
 from sonorel.llm.shingles import fingerprint, linked, mix, shingle_set, truly_linked
-from sonorel.llm.work import arrow_rows, discard, held, stored
+from sonorel.llm.work import discard, stored
 
 BUCKETS, MANTISSA, BANDS, ROWS_PER_BAND = 128, 10, 25, 5
 EMPTY = 0xFFFF
@@ -178,11 +178,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                     v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = held(_texts(docs, ids))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = stored(_texts(docs, ids), "texts")
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.mapInArrow(run, "u long, v long")
+    links = stored(with_b.mapInArrow(run, "u long, v long"), "links")
+    discard(ids, texts)
+    return links
 
 
 def _open_links(members: DataFrame, k: int, percent: int, block: int = 1024) -> DataFrame:
@@ -243,25 +245,27 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = held(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
+    sizes = stored(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
     stars = banded.join(sizes, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    with arrow_rows(docs.sparkSession, 512):
-        candidates = held(_estimated(stars, classes, percent))
-        links = held(_confirmed(candidates, docs, k, percent))
-        label = components(links)
+    candidates = stored(_estimated(stars, classes, percent), "stars", rows=4096)
+    links = _confirmed(candidates, docs, k, percent)
+    label = components(links)
+    discard(candidates, links)
 
     in_large = banded.join(sizes.where("size > 2").select("band", "size"), "band")
-    named = held(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")))
+    named = stored(in_large.join(label.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("band", "size", "rep", F.coalesce("component", "rep").alias("label")), "named")
     open_bands = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    members = held(named.join(open_bands, "band"))
+    members = stored(named.join(open_bands, "band"), "members")
     if members.limit(1).count():
-        texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
-        about = classes.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text")
-        more = held(_open_links(members.join(about, "rep"), k, percent))
+        ids = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")  # as a table its size is known: the texts need not move to meet a small one
+        texts = stored(_texts(docs, ids), "texts")
+        about = stored(classes.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "fp", "regs", "bands", "text"), "about")
+        more = stored(_open_links(members.join(about, "rep"), k, percent), "links")
+        discard(ids, texts, about)
         if more.limit(1).count():
             label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
         discard(more)
-    discard(members, named, sizes, candidates, links)
+    discard(members, named, sizes)
 
     by_fp = classes.select("fp", F.col("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     rows = sig.select("doc_id", "digest", "n", "fp")  # empty sets have no key: they must not meet in one task
@@ -283,7 +287,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """
     found = labelled(docs.select("doc_id", "text"), k, percent).where("doc_id is not null")
     gone = found.where("component <> doc_id").select("doc_id", "digest").distinct()
-    twice = held(found.where("component is null or component = doc_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"))
+    twice = stored(found.where("component is null or component = doc_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"), "twice")
     # the row travels as one struct, so that no column of it can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
     left = rows.join(gone, ["doc_id", "digest"], "left_anti")
