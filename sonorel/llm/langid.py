@@ -195,10 +195,15 @@ def train(docs: DataFrame, sample_rows: int = 4000, max_languages: int = 64, epo
     languages = sorted(per_lang)
     number = {lang: i for i, lang in enumerate(languages)}
     model = Model(languages, idf, np.zeros((FEATURES, len(languages))))
+    # two long arrays for all rows, which go back to the system when the fit is done
+    ends = np.cumsum(sample["idx"].map(len).to_numpy(np.int64) // 2) if len(sample) else np.zeros(0, np.int64)
+    all_idx, all_x = np.frombuffer(b"".join(sample["idx"]), "<u2"), np.frombuffer(b"".join(sample["tf"]), "<f4").copy()
+    sample = sample[["lang", "draw"]]
     rows = []
-    for lang, draw, idx, tf in sample.itertuples(index=False):
-        i = np.frombuffer(idx, "<u2").astype(np.int64)
-        rows.append((number[lang], (draw >> 20) % 5 == 0, i, model.vector(i, np.frombuffer(tf, np.float32))))
+    for (lang, draw), b, a in zip(sample.itertuples(index=False), ends, [0, *ends[:-1]]):
+        i, x = all_idx[a:b], all_x[a:b]
+        x[:] = model.vector(i, x)
+        rows.append((number[lang], (draw >> 20) % 5 == 0, i, x))
     learned = {y for y, held, *_ in rows if not held}
     rows = [(y, held and y in learned, i, x) for y, held, i, x in rows]  # no language is only held back
     if not many:
