@@ -53,6 +53,10 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -exponent)
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=-1))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = scaled(x)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -61,4 +65,4 @@ def unit(x: np.ndarray) -> np.ndarray:
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of ``a`` with rows of ``b`` in double precision, each alike whatever its neighbours are."""
     a, b = scaled(a), scaled(b)
-    return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
+    return (a * b).sum(axis=-1) / (norms(a) * norms(b))
