@@ -69,9 +69,9 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """``(seq, t, class, score)``: ten vectors make a sequence, the first eight components are classes."""
+    """``(seq, t, class, score)``: ten vectors make a sequence, their components are classes."""
     e = _table(spark, sf, "embeddings")
-    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("seq"), (F.col("vec_id") % 10).cast("int").alias("t"), F.posexplode(F.slice("embedding", 1, 8)).alias("class", "score"))
+    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("seq"), (F.col("vec_id") % 10).cast("int").alias("t"), F.posexplode("embedding").alias("class", "score"))
 
 
 _SAMPLES = "s AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, greatest(-1.0, least(1.0, value / 500)) AS x FROM events)"
@@ -221,11 +221,12 @@ def a13(spark, sf):
 
 # --- lookups ------------------------------------------------------------------------------------
 
-_VOCAB = [(0, "<b>"), (1, "▁the"), (2, "▁a"), (3, "n"), (4, "▁or"), (5, "s"), (7, "t")]
+# a piece for each of the 64 components but one, every third of which begins a word
+_VOCAB = [(i, ("▁" if i % 3 == 1 else "") + chr(97 + i % 26) + "aeiou"[i // 26]) for i in range(64) if i != 6]
 _VALUES = ", ".join(f"({i}, '{p}')" for i, p in _VOCAB)
 
 
-@_register("j1_detok", f"""WITH best AS (SELECT vec_id // 10 AS seq, vec_id % 10 AS t, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS tok FROM embeddings),
+@_register("j1_detok", f"""WITH best AS (SELECT vec_id // 10 AS seq, vec_id % 10 AS t, list_position(embedding, list_max(embedding)) - 1 AS tok FROM embeddings),
     v(id, piece) AS (VALUES {_VALUES})
     SELECT seq, ltrim(replace(string_agg(piece, '' ORDER BY t), '▁', ' '), ' ') AS text FROM best JOIN v ON v.id = best.tok GROUP BY seq""")
 def j1(spark, sf):
@@ -392,7 +393,7 @@ def w13(spark, sf):
 
 # --- decoding -----------------------------------------------------------------------------------
 
-_BEST = "best AS (SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS INTEGER) AS tok FROM embeddings)"
+_BEST = "best AS (SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS tok FROM embeddings)"
 
 
 @_register("a15_argmax", f"WITH {_BEST} SELECT * FROM best")
@@ -418,7 +419,7 @@ def p11(spark, sf):
     return _table(spark, sf, "embeddings").select("vec_id", de.without_special(de.cut_at_eos(x, (5,)), F.array(F.lit(2))).alias("kept"))
 
 
-@_register("p12_suppress", "SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, CAST(list_position(embedding[3:8], list_max(embedding[3:8])) + 1 AS INTEGER) AS tok FROM embeddings")
+@_register("p12_suppress", "SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, CAST(list_position(embedding[3:], list_max(embedding[3:])) + 1 AS INTEGER) AS tok FROM embeddings")
 def p12(spark, sf):
     return de.best_class(de.suppressed(scores(spark, sf), spark.createDataFrame([(0,), (1,)], "class int")))
 
@@ -451,7 +452,7 @@ def a9(spark, sf):
     return e.select("label", F.round(de.mean_log_probability(F.col("s"), F.col("n") - 1), 6).alias("avg_logprob"))
 
 
-@_register("o2_tdt", """WITH RECURSIVE st AS (SELECT vec_id // 20 AS seq, CAST(vec_id % 20 AS INTEGER) AS t, list_position(embedding[1:6], list_max(embedding[1:6])) - 1 AS tok, list_position(embedding[7:10], list_max(embedding[7:10])) - 1 AS d FROM embeddings),
+@_register("o2_tdt", """WITH RECURSIVE st AS (SELECT vec_id // 20 AS seq, CAST(vec_id % 20 AS INTEGER) AS t, list_position(embedding[:-5], list_max(embedding[:-5])) - 1 AS tok, list_position(embedding[-4:], list_max(embedding[-4:])) - 1 AS d FROM embeddings),
     walk(seq, t, emitted, n) AS (SELECT DISTINCT seq, 0, 0, 0 FROM st UNION ALL
         SELECT w.seq, CASE WHEN s.tok = 5 THEN w.t + greatest(s.d, 1) WHEN w.emitted + 1 >= 10 AND w.emitted > 0 THEN w.t + s.d + 1 ELSE w.t + s.d END,
             CASE WHEN s.tok = 5 OR s.d > 0 OR w.emitted + 1 >= 10 THEN 0 ELSE w.emitted + 1 END, w.n + CASE WHEN s.tok = 5 THEN 0 ELSE 1 END
@@ -459,7 +460,7 @@ def a9(spark, sf):
     SELECT seq, CAST(pos AS INTEGER) AS pos, CAST(tok AS INTEGER) AS tok FROM (SELECT w.seq, w.n AS pos, s.tok FROM walk w JOIN st s ON s.seq = w.seq AND s.t = w.t WHERE s.tok <> 5)""")
 def o2(spark, sf):
     e = _table(spark, sf, "embeddings")
-    s = e.select(F.floor(F.col("vec_id") / 20).cast("long").alias("seq"), (F.col("vec_id") % 20).cast("int").alias("t"), F.slice("embedding", 1, 6).alias("tokens"), F.slice("embedding", 7, 4).alias("lengths"))
+    s = e.select(F.floor(F.col("vec_id") / 20).cast("long").alias("seq"), (F.col("vec_id") % 20).cast("int").alias("t"), F.expr("slice(embedding, 1, size(embedding) - 4)").alias("tokens"), F.slice("embedding", -4, 4).alias("lengths"))
     return de.tdt_decode(s, 5, [0, 1, 2, 3])
 
 

@@ -163,7 +163,7 @@ def j11(spark, sf):
     return de.special_tokens(spark.createDataFrame([(i, x[0]) for i, x in zip(ids, names)], "id int, piece string"))
 
 
-@_register("t4_largest", "SELECT seq, t, CAST(rk AS INTEGER) AS \"rank\", class, round(score, 6) AS score FROM (SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, i AS class, x AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rk FROM (SELECT vec_id, CAST(unnest(range(0, 8)) AS INTEGER) AS i, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings)) WHERE rk <= 5")
+@_register("t4_largest", "SELECT seq, t, CAST(rk AS INTEGER) AS \"rank\", class, round(score, 6) AS score FROM (SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, i AS class, x AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rk FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)) WHERE rk <= 5")
 def t4(spark, sf):
     return de.largest(scores(spark, sf).withColumn("score", F.col("score").cast("double"))).withColumn("score", F.round("score", 6))
 
