@@ -3,13 +3,15 @@
 A text is cut before every space whose left or right neighbour is not white space. No
 pre-token crosses such a place, so the chunks' ids joined are the text's ids. The chunks of a
 batch are found and hashed by numpy; only the distinct ones are looked up or encoded, and the
-rest is a gather.
+rest is a gather. A chunk is known by two 64-bit hashes under keys that each process draws for
+itself; where the first agrees and the second does not, the chunks count as different.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,7 +24,8 @@ SLICE_BYTES = 2 << 20
 LONG_CHUNK = 4096
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_K = np.uint64(0x9E3779B97F4A7C15)
+_K, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_KEY, _KEY2 = np.frombuffer(os.urandom(16), np.uint64)
 _MASK = np.array([*((1 << 8 * i) - 1 for i in range(8)), (1 << 64) - 1], np.uint64)
 
 
@@ -85,21 +88,30 @@ class Chunks:
         self.starts = np.flatnonzero(edge[:n])
         self.ends = np.append(self.starts[1:], n) if len(self.starts) else self.starts
         self.first = np.searchsorted(self.starts, offsets)
-        h = self._hashes()
-        self.hashes, self.sample, self.inverse = np.unique(h, return_index=True, return_inverse=True)
+        h, check = self._hashes()
+        while True:
+            self.hashes, self.sample, self.inverse = np.unique(h, return_index=True, return_inverse=True)
+            self.checks = check[self.sample]
+            clash = self.checks[self.inverse] != check
+            if not clash.any():
+                break
+            h[clash] = (h[clash] + _K) ^ check[clash]  # another place for those that are not the sample
 
-    def _hashes(self) -> np.ndarray:
-        """A mixed hash of each chunk, eight bytes at a step."""
+    def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two mixed hashes of each chunk, eight bytes at a step."""
         if not len(self.starts):
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
         words = np.ndarray((len(self.buf) + 1,), "<u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,))
         lengths = self.ends - self.starts
-        h = lengths.astype(np.uint64) * _K
+        h = lengths.astype(np.uint64) * _K ^ _KEY
+        g = lengths.astype(np.uint64) ^ _KEY2
         left, at, which = lengths, self.starts, slice(None)
         for _ in range(LONG_CHUNK // 8):
             step = words[at] & _MASK[np.minimum(left, 8)]
             x = (h[which] ^ step) * _K
             h[which] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (g[which] ^ step) * _K2
+            g[which] = x ^ (x >> np.uint64(32))
             more = left > 8
             if not more.any():
                 break
@@ -107,8 +119,8 @@ class Chunks:
             which = np.flatnonzero(more) if isinstance(which, slice) else which[more]
         h ^= h >> np.uint64(32)
         for i in np.flatnonzero(lengths > LONG_CHUNK):
-            h[i] = int.from_bytes(hashlib.blake2b(self.bytes_of(i), digest_size=8).digest(), "little")
-        return h
+            h[i], g[i] = np.frombuffer(hashlib.blake2b(self.bytes_of(i), digest_size=16).digest(), "<u8")
+        return h, g
 
     def bytes_of(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
@@ -169,27 +181,32 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
 class ChunkIds:
     """Ids of the distinct chunks of a batch; a subclass makes those not seen before (``_new``).
 
-    Chunks of earlier batches are found by hash in a sorted cache of at most ``entries``.
+    Chunks of earlier batches are found by hash in a sorted cache of at most ``entries``; one that
+    meets another's first hash takes its place.
     """
 
     entries = 500_000
 
     def __init__(self):
-        self.cache = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, "<u4")
+        self.cache = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, "<u4")
 
     def kinds(self, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
         """For the distinct chunks of ``c``: how many ids each has, and all their ids, one after another."""
-        known, sizes, flat = self.cache
+        known, checks, sizes, flat = self.cache
         at = np.minimum(np.searchsorted(known, c.hashes), max(len(known) - 1, 0))
-        hit = known[at] == c.hashes if len(known) else np.zeros(len(c.hashes), bool)
+        met = known[at] == c.hashes if len(known) else np.zeros(len(c.hashes), bool)
+        hit = met.copy()
+        hit[met] = checks[at[met]] == c.checks[met]
         new_sizes, new_flat = self._new(c, np.flatnonzero(~hit))
-        if len(known) + len(new_sizes) > self.entries:
-            used = np.unique(at[hit])
-            known, flat, sizes = known[used], flat[spread(sizes, used)], sizes[used]
+        full = len(known) + len(new_sizes) > self.entries
+        if full or (met & ~hit).any():
+            used = np.unique(at[hit]) if full else np.delete(np.arange(len(known)), at[met & ~hit])
+            known, checks, flat, sizes = known[used], checks[used], flat[spread(sizes, used)], sizes[used]
         hashes = np.concatenate([known, c.hashes[~hit]])
         order = np.argsort(hashes, kind="stable")  # two sorted runs
+        all_checks = np.concatenate([checks, c.checks[~hit]])
         all_sizes, all_flat = np.concatenate([sizes, new_sizes.astype(np.int32)]), np.concatenate([flat, new_flat])
-        self.cache = known, sizes, flat = hashes[order], all_sizes[order], all_flat[spread(all_sizes, order)]
+        self.cache = known, _, sizes, flat = hashes[order], all_checks[order], all_sizes[order], all_flat[spread(all_sizes, order)]
         mine = np.searchsorted(known, c.hashes)
         return sizes[mine], flat[spread(sizes, mine)]
 

@@ -71,6 +71,22 @@ def test_ids_equal_the_library(name):
         assert (n, ids.decode(), out.decode()) == (len(want), " ".join(map(str, want)), lib.decode(want, skip_special_tokens=False)), repr(t)
 
 
+@pytest.mark.parametrize("entries", [500_000, 3])
+def test_chunks_that_share_a_hash_stay_apart(monkeypatch, entries):
+    from tokenizers import Tokenizer
+
+    whole = byte_bpe.Chunks._hashes
+    monkeypatch.setattr(byte_bpe.Chunks, "_hashes", lambda c: (whole(c)[0] & np.uint64(3), whole(c)[1]))
+    enc = byte_bpe.Encoder(byte_bpe.default_path())
+    enc.entries = entries
+    lib = Tokenizer.from_file(byte_bpe.default_path())
+    rng = np.random.default_rng(3)
+    words = ["one", "two", "Three", "fünf", "6", "sieben", "x" * 5000, "y" * 5000, ".", "ab"]
+    for _ in range(8):  # batches that meet the chunks of earlier ones in another order
+        texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(rng.integers(1, 6))]
+        assert [x.tolist() for x in enc.encode(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_merging_skips_stale_entries():
     ranks = {(1 << 17 | 2): (0 << 17 | 5), (2 << 17 | 1): (1 << 17 | 6), (5 << 17 | 5): (2 << 17 | 7)}
     assert word_bpe.merge_word([1, 2, 1, 2], ranks) == [7]
