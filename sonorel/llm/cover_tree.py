@@ -1,15 +1,17 @@
 """Embedding near-dedup by dual traversal of cover trees: all pairs at a cosine threshold, exactly.
 
-Equal vectors become one class first. Classes are dealt into blocks by their nearest pivot
-(pivots are a far-apart net of a bounded sample) and hash, every class into one block. Each
-block gets a cover tree: nested nets whose radii halve from level to level, every point below
-the nearest point of the net above, with measured covering radii. A pair of blocks, then a pair
-of nodes, is dropped when its centres lie farther apart than both radii and the threshold
-allow; what is left at the bottom is confirmed in double precision.
-
-A task reports, per class, how many vectors it links to and the smallest class it hangs
-together with, never the pairs. Blocks number at most ``max_blocks``, so their centres fit the
-driver, where the top of the traversal runs; classes and links stay on the executors.
+Equal vectors become one class first. Classes are dealt into cells by their nearest pivot
+(pivots are a far-apart net of a bounded sample) and cells into blocks of about ``block``
+classes by hash, every class into one block. Each block gets a cover tree: nested nets whose
+radii halve from level to level, every point below the nearest point of the net above, with
+measured covering radii. A pair of cells, then of blocks, then of nodes, is dropped when its
+centres lie farther apart than both radii and the threshold allow; what is left at the bottom is
+confirmed in double precision.
+
+A task holds two blocks, whatever the size of the table, and reports, per class, how many vectors
+it links to and the smallest class it hangs together with, never the pairs. Only cells, at most
+``max_cells`` for each vector length, are paired on the driver; blocks, their pairs, classes and
+links stay on the executors.
 
 High-dimensional data without clusters lets no bound prune above the lowest levels: then each
 pair of blocks costs one matrix product.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -225,7 +228,7 @@ class Forest:
                 self.label = up
 
 
-def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, max_blocks: int = 1024, sample: int = 4096) -> DataFrame:
+def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, max_cells: int = 256, sample: int = 4096) -> DataFrame:
     """One row per row of ``df(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``."""
     spark = df.sparkSession
     width = width_of(df)
@@ -233,13 +236,13 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
     known = rows.where("vec is not null and vec_id is not null")
     classes = known.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     classes = stored(classes, "classes")
-    total = classes.count()
-    size = max(block, math.ceil(total / max_blocks))
-    n_blocks = max(1, math.ceil(total / size))
+    n_blocks = max(1, math.ceil(classes.count() / block))
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     picks = classes.select("digest", "vec").orderBy("digest").limit(min(sample, 64 * n_blocks)).collect()  # bounded by ``sample``
-    lengths = {len(r.vec) for r in picks}
-    pivots = _pivots([np.frombuffer(r.vec, width) for r in picks], max(1, n_blocks // 4)) if len(lengths) == 1 else None
+    lengths = Counter(len(r.vec) for r in picks)
+    usual = max(lengths, key=lambda n: (lengths[n], n), default=0)  # vectors of other lengths have one cell each length
+    pivots = _pivots([np.frombuffer(r.vec, width) for r in picks if len(r.vec) == usual], max(1, min(max_cells, n_blocks // 4)))
 
     def deal(batches):
         for batch in batches:
@@ -256,14 +259,14 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
     per_cell = {(r.cell, r.width): r.n for r in dealt.groupBy("cell", F.length("vec").alias("width")).agg(F.count("*").alias("n")).collect()}  # cells times vector lengths
     number, first = 0, []
     for (cell, w), n in sorted(per_cell.items()):
-        parts = math.ceil(n / size)
+        parts = math.ceil(n / block)
         first.append((cell, w, number, parts))
         number += parts
     if not first:
         first = [(0, 0, 0, 1)]
     places = F.broadcast(spark.createDataFrame(first, "cell long, width int, base long, parts long"))
     dealt = dealt.withColumn("width", F.length("vec")).join(places, ["cell", "width"])
-    dealt = dealt.select((F.col("base") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"), "rep", "copies", "vec", "width")
+    dealt = dealt.select((F.col("base") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"), "cell", "rep", "copies", "vec", "width")
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
@@ -271,17 +274,18 @@ def linked_vectors(df: DataFrame, threshold: float = 0.95, block: int = 4096, ma
         centre = x.mean(axis=0)
         centre = centre / max(float(np.linalg.norm(centre)), 1e-12) if np.linalg.norm(centre) > 1e-9 else x[0]
         radius = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ centre))).max())
+        cell, w = int(pdf["cell"].iloc[0]), int(pdf["width"].iloc[0])
+        around = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots[cell]))).max()) if w == usual else 2.0
         tree = CoverTree(x).to_bytes()  # built once, used in every pair of blocks
         out = []
         for s in range(0, len(pdf), CHUNK):
             part = pdf.iloc[s : s + CHUNK]
-            out.append((int(key[0]), s // CHUNK, int(part["width"].iloc[0]), part["rep"].to_numpy("<i8").tobytes(), part["copies"].to_numpy("<i8").tobytes(), b"".join(part["vec"]), centre.tobytes(), radius, b"" if s else tree))
-        return pd.DataFrame(out, columns=["block", "chunk", "width", "reps", "copies", "vecs", "centre", "radius", "tree"])
+            out.append((int(key[0]), s // CHUNK, cell, w, part["rep"].to_numpy("<i8").tobytes(), part["copies"].to_numpy("<i8").tobytes(), b"".join(part["vec"]), b"" if s else centre.tobytes(), radius, around, b"" if s else tree))
+        return pd.DataFrame(out, columns=["block", "chunk", "cell", "width", "reps", "copies", "vecs", "centre", "radius", "around", "tree"])
 
-    blocks = stored(dealt.groupBy("block").applyInPandas(pack, "block long, chunk int, width int, reps binary, copies binary, vecs binary, centre binary, radius double, tree binary"), "blocks")
-    heads = blocks.where("chunk = 0").select("block", "width", "centre", "radius").collect()  # one row per block
-    pairs = _block_pairs(heads, math.sqrt(max(0.0, 2 - 2 * threshold)))
-    pair_rows = spark.createDataFrame([(b, i, j) for i, j in pairs for b in {i, j}], "block long, i long, j long")
+    blocks = stored(dealt.groupBy("block").applyInPandas(pack, "block long, chunk int, cell long, width int, reps binary, copies binary, vecs binary, centre binary, radius double, around double, tree binary"), "blocks")
+    pairs = stored(_block_pairs(blocks.where("chunk = 0"), pivots, usual, reach), "pairs", rows=4096)
+    pair_rows = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
     travelling = pair_rows.join(blocks.select("block", "chunk", "reps", "copies", "vecs", "width", "tree"), "block")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -332,16 +336,35 @@ def _pivots(vectors: list[np.ndarray], most: int) -> np.ndarray | None:
     return x[chosen]
 
 
-def _block_pairs(heads, reach: float) -> list[tuple[int, int]]:
-    out = []
-    by_width: dict[int, list] = {}
-    for h in heads:
-        by_width.setdefault(h.width, []).append(h)
-    for same in by_width.values():
-        same.sort(key=lambda h: h.block)
-        c = np.stack([np.frombuffer(h.centre, np.float64) for h in same])
-        r = np.array([h.radius for h in same])
-        d = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-        i, j = np.nonzero(np.triu(d <= r[:, None] + r[None, :] + reach + 1e-6))
-        out += [(same[a].block, same[b].block) for a, b in zip(i, j)]
-    return out
+def _block_pairs(heads: DataFrame, pivots: np.ndarray | None, usual: int, reach: float) -> DataFrame:
+    """``(i, j)`` with i <= j: the pairs of blocks that no bound rules out.
+
+    ``heads(block, cell, width, centre, radius, around)``, ``around`` being the radius of a block
+    about its cell's pivot. Cells are paired first, here; their blocks meet by the pair of cells.
+    """
+    cells = heads.groupBy("cell", "width").agg(F.max("around").alias("around")).collect()  # at most ``max_cells`` a vector length
+    near = [(c.cell, c.cell, c.width) for c in cells]
+    same = sorted((c for c in cells if c.width == usual), key=lambda c: c.cell)
+    if len(same) > 1:
+        p, r = pivots[[c.cell for c in same]], np.array([c.around for c in same])
+        d = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
+        a, b = np.nonzero(np.triu(d <= r[:, None] + r[None, :] + reach + 1e-6, 1))
+        near += [(same[x].cell, same[y].cell, usual) for x, y in zip(a, b)]
+
+    def bounded(batches):
+        for batch in batches:
+            w = batch.column("width").to_numpy()
+            ok = np.zeros(batch.num_rows, bool)
+            for one in np.unique(w):  # centres of one length at a time
+                at = np.flatnonzero(w == one)
+                a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1) for c in ("centre_i", "centre_j"))
+                far = batch.column("radius_i").to_numpy()[at] + batch.column("radius_j").to_numpy()[at] + reach + 1e-6
+                ok[at] = np.sqrt(np.maximum(0, 2 - 2 * (a * b).sum(axis=1))) <= far
+            yield batch.select(["i", "j"]).filter(pa.array(ok))
+
+    def side(x):
+        return heads.select(F.col("block").alias(x), F.col("cell").alias(f"cell_{x}"), "width", F.col("centre").alias(f"centre_{x}"), F.col("radius").alias(f"radius_{x}"))
+
+    met = heads.sparkSession.createDataFrame(near, "cell_i long, cell_j long, width int")
+    both = side("i").join(met, ["cell_i", "width"]).join(side("j"), ["cell_j", "width"]).where("i <= j")
+    return both.select("i", "j", "width", "centre_i", "centre_j", "radius_i", "radius_j").mapInArrow(bounded, "i long, j long")

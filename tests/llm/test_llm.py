@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -504,6 +505,25 @@ def test_cover_tree_pairs(spark):
     assert cover_tree.linked_vectors(df.where("false")).count() == 0
 
 
+def test_cells_and_blocks_lose_no_link(spark, monkeypatch):
+    """Blocks of eight classes, cells that bounds rule out, and two vector lengths, against brute force."""
+    rng = np.random.default_rng(21)
+    middles = rng.normal(size=(10, 12))
+    made = [m + rng.normal(size=12) * rng.choice([0.05, 0.3]) for m in middles for _ in range(30)] + [rng.normal(size=5) for _ in range(40)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)]
+    rows += [(1000 + i, rows[7 * i][1]) for i in range(20)]
+    ok = {i: np.asarray(v) / np.linalg.norm(v) for i, v in rows}
+    edges = [(a, b) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.95]
+    low, degree = smallest_reachable(ok, edges), Counter(x for e in edges for x in e)
+    seen = []
+    plain = cover_tree._block_pairs
+    monkeypatch.setattr(cover_tree, "_block_pairs", lambda heads, *rest: seen.append((heads.count(), plain(heads, *rest).count())) or plain(heads, *rest))
+    got = cover_tree.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=8).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], low[i]) for i in ok}
+    (blocks, pairs), = seen
+    assert blocks >= 40 and pairs < blocks * (blocks + 1) / 4
+
+
 def test_huge_and_tiny_vectors_take_part(spark):
     rows = [(0, [1e200, 1e200]), (50, [1e-200, 1e-200]), (2, [1.0, 1.0]), (3, [5e-324, 0.0]), (4, [1.0, -1.0]), (5, [0.0, 0.0]), (6, [1e308, 1e308])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
