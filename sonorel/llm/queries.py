@@ -72,6 +72,20 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM p JOIN f USING (sha)
 """
 
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+m AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) AS score
+    FROM m a JOIN m b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def _query(table: str, module: str, function: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_diagonal_licences": license_scan.sql(), "op5_cover_tree_dedup": OP5_SQL, "op6_salvaged_warc": OP6_SQL, "op10_hyperminhash": OP10_SQL}
+    return {"op4_diagonal_licences": license_scan.sql(), "op5_cover_tree_dedup": OP5_SQL, "op6_salvaged_warc": OP6_SQL, "op9_one_bit_codes": OP9_SQL, "op10_hyperminhash": OP10_SQL}

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sonorel.llm.vectors import norms, read_vectors, scaled, unit, width_of
+from sonorel.llm.vectors import dots, norms, read_vectors, scaled, unit, width_of
 from sonorel.llm.work import discard, stored
 
 BLOCK, QUERY_BLOCK, TASK = 1024, 512, 1 << 23
@@ -113,7 +113,7 @@ class Best:
         scores = np.empty(len(rows))
         for s in range(0, len(rows), 8192):  # as ``cosines``, with each row scaled and measured once
             i, j = rows[s : s + 8192], cols[s : s + 8192]
-            scores[s : s + 8192] = (self.q[i] * x[j]).sum(axis=-1) / (self.norm[i] * norm[j])
+            scores[s : s + 8192] = dots(self.q[i], x[j]) / (self.norm[i] * norm[j])
         good = scores >= self.scores[rows, -1]
         rows, cols, scores = rows[good], cols[good], scores[good]
         copies = np.minimum(begin[cols + 1] - begin[cols], k + 1)  # of equal vectors no more can rank

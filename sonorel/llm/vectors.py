@@ -53,8 +53,19 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -exponent)
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``a`` with rows of ``b``, summed from the first component to the last."""
+    out = np.zeros(len(a))
+    for s in range(0, len(a), 4096):
+        parts = np.ascontiguousarray((a[s : s + 4096] * b[s : s + 4096]).T)
+        total = out[s : s + 4096]
+        for part in parts:
+            total += part
+    return out
+
+
 def norms(x: np.ndarray) -> np.ndarray:
-    return np.sqrt((x * x).sum(axis=-1))
+    return np.sqrt(dots(x, x))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -65,4 +76,4 @@ def unit(x: np.ndarray) -> np.ndarray:
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of ``a`` with rows of ``b`` in double precision, each alike whatever its neighbours are."""
     a, b = scaled(a), scaled(b)
-    return (a * b).sum(axis=-1) / (norms(a) * norms(b))
+    return dots(a, b) / (norms(a) * norms(b))

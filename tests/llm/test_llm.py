@@ -570,6 +570,21 @@ def test_one_bit_codes(spark):
     assert rabitq.nearest(df.where("false")).count() == 0
 
 
+def test_nearest_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from sonorel.llm import queries
+
+    rows = vectors(np.random.default_rng(15))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"select query_id, rank, vec_id, score from ({queries.OP9_SQL})").fetchall()
+    got = queries.queries()["op9_one_bit_codes"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(15)
     x, q = (rng.normal(size=(n, 64)) for n in (2000, 50))
