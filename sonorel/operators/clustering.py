@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sonorel.functions.vector import l2_normalize
-from sonorel.operators.signal import log_mel
+from sonorel.operators.signal import whisper_rows
 
 
 def mean_embedding(mel: DataFrame, *keys: str) -> DataFrame:
@@ -73,14 +75,19 @@ def cluster_segments(segments: DataFrame, k: int, rounds: int = 25) -> DataFrame
     if k < 1:
         raise ValueError("k must be at least 1")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_id", kind="stable")
-        x = _unit(np.stack([np.asarray(e, np.float64) for e in pdf["embedding"]]))
-        ids = relabel(cosine_kmeans(x, k, rounds), pdf["start"].to_numpy())
-        return pd.DataFrame({"stream": pdf["stream"], "seg_id": pdf["seg_id"], "speaker_id": ids.astype(np.int32)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for starts, embeddings in zip(pdf["starts"], pdf["embeddings"]):
+                x = _unit(np.stack([np.asarray(e, np.float64) for e in embeddings]))
+                out.append(relabel(cosine_kmeans(x, k, rounds), np.asarray(starts)).astype(np.int32))
+            yield pdf[["stream", "seg_ids"]].assign(speaker_ids=out)
 
     kind = dict(segments.dtypes)
-    return segments.select("stream", "seg_id", "start", "embedding").groupBy("stream").applyInPandas(run, f"stream {kind['stream']}, seg_id {kind['seg_id']}, speaker_id int")
+    groups = segments.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("seg_id", "start", "embedding"))).alias("g"))
+    groups = groups.select("stream", F.col("g.seg_id").alias("seg_ids"), F.col("g.start").alias("starts"), F.col("g.embedding").alias("embeddings"))
+    done = groups.mapInPandas(run, f"stream {kind['stream']}, seg_ids array<{kind['seg_id']}>, speaker_ids array<int>")
+    return done.select("stream", F.explode(F.arrays_zip("seg_ids", "speaker_ids")).alias("s")).select("stream", F.col("s.seg_ids").alias("seg_id"), F.col("s.speaker_ids").alias("speaker_id"))
 
 
 def rank_by_first_start(assignments: DataFrame) -> DataFrame:
@@ -93,5 +100,5 @@ def rank_by_first_start(assignments: DataFrame) -> DataFrame:
 def segment_embedding(samples: np.ndarray, start: int, end: int, bank: np.ndarray | None = None) -> np.ndarray:
     """Mean log-mel of a segment alone, normalised; zeros for an empty segment. ``bank`` are the model's own filters, if it has any."""
     bins = 128 if bank is None else len(bank)
-    v = log_mel(samples[start:end], "whisper", bank) if end > start else np.zeros((0, bins))
-    return _unit(v.mean(axis=0)) if len(v) else np.zeros(bins)
+    v, counts = whisper_rows(samples[start:end], bank) if end > start else (np.zeros((0, bins)), np.zeros(0))
+    return _unit(counts @ v / counts.sum()) if len(v) else np.zeros(bins)

@@ -42,6 +42,10 @@ def energy_detector(x: Column, mode: int = 2) -> Column:
     return F.sqrt(power) > (0.005, 0.01, 0.02, 0.04)[mode]
 
 
+#: A frame of equal samples has the level of one of them, so that one will do; detectors without this mark get whole frames.
+energy_detector.steady = True
+
+
 def fixed_frames(samples: DataFrame, frame_len: int) -> DataFrame:
     """``samples(stream, i, x)`` to whole frames ``(stream, f, n, mean_square)``; a part frame at the end goes."""
     f = F.floor(F.col("i") / frame_len).cast("long").alias("f")
@@ -50,15 +54,15 @@ def fixed_frames(samples: DataFrame, frame_len: int) -> DataFrame:
 
 
 def hysteresis(frames: DataFrame, min_speech: int, min_silence: int) -> DataFrame:
-    """``frames(stream, f, voice)`` to ``(stream, start, end, total)`` in frames.
+    """``frames(stream, f, voice)`` to ``(stream, start, end, total)`` in frames; with a column ``n``, a row stands for n equal frames from f on.
 
     Runs of equal frames that are long enough are events; of neighbouring events of one kind the
     first counts; a speech event lasts to the next event, or to the stream's end.
     """
-    by_stream = Window.partitionBy("stream").orderBy("f")
-    in_kind = Window.partitionBy("stream", "voice").orderBy("f")
-    runs = frames.select("stream", "f", "voice", (F.row_number().over(by_stream) - F.row_number().over(in_kind)).alias("island"), F.count("*").over(Window.partitionBy("stream")).alias("total"))
-    events = runs.groupBy("stream", "voice", "island").agg(F.min("f").alias("start"), F.count("*").alias("n"), F.first("total").alias("total"))
+    n = F.col("n") if "n" in frames.columns else F.lit(1)
+    by_stream, in_kind = (Window.partitionBy(*keys).orderBy("f").rowsBetween(Window.unboundedPreceding, 0) for keys in (["stream"], ["stream", "voice"]))
+    runs = frames.select("stream", "f", "voice", n.alias("n"), (F.sum(n).over(by_stream) - F.sum(n).over(in_kind)).alias("island"), F.sum(n).over(Window.partitionBy("stream")).alias("total"))
+    events = runs.groupBy("stream", "voice", "island").agg(F.min("f").alias("start"), F.sum("n").alias("n"), F.first("total").alias("total"))
     events = events.where((F.col("voice") & (F.col("n") >= min_speech)) | (~F.col("voice") & (F.col("n") >= min_silence)))
     order = Window.partitionBy("stream").orderBy("start")
     turns = events.withColumn("before", F.lag("voice").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("voice")))
@@ -92,7 +96,7 @@ def split_long(segments: DataFrame, longest: int) -> DataFrame:
 
 
 def vad_segments(frames: DataFrame, config: VadConfig) -> DataFrame:
-    """``frames(stream, f, voice)`` to segments ``(stream, start, end)`` in samples."""
+    """``frames(stream, f, voice)``, or with ``n``, to segments ``(stream, start, end)`` in samples."""
     speech = hysteresis(frames, config.frames(config.min_speech_ms), config.frames(config.min_silence_ms))
     merged = merge_intervals(pad(speech, config.frames(config.pad_ms, 0)))
     scaled = merged.select("stream", (F.col("start") * config.frame_len).alias("start"), (F.col("end") * config.frame_len).alias("end"))

@@ -7,6 +7,7 @@ Long relations ``samples(stream, i, x)``, ``spectrum(stream, frame, k, power)``
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -124,6 +125,7 @@ def _unslaney(m):
     return np.where(m >= 15, 1000 * np.exp(math.log(6.4) / 27 * (m - 15)), m * 200 / 3)
 
 
+@functools.cache
 def filter_matrix(sample_rate: int, n_fft: int, n_mels: int, scale: str = "slaney", f_max: float | None = None) -> np.ndarray:
     """Triangular filters as (n_mels, n_fft / 2 + 1)."""
     to, back = (_slaney, _unslaney) if scale == "slaney" else (lambda f: 2595 * np.log10(1 + np.asarray(f, float) / 700), lambda m: 700 * (10 ** (np.asarray(m, float) / 2595) - 1))
@@ -134,19 +136,37 @@ def filter_matrix(sample_rate: int, n_fft: int, n_mels: int, scale: str = "slane
     return w * (2 / (hi - lo)) if scale == "slaney" else w
 
 
+def _whisper(x: np.ndarray, bank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel rows of the whisper front end and each frame's row; frames within one stretch of equal samples share a row."""
+    n_fft, hop = 400, 160
+    frames = np.arange(len(x) // hop)
+    at = np.concatenate([np.arange(-n_fft // 2, 0), len(x) + np.arange(n_fft // 2)])
+    at = np.where(at < 0, -at, at)
+    at = np.where(at >= len(x), 2 * len(x) - at - 2, at)
+    ok = (at >= 0) & (at < len(x))
+    ends = np.where(ok, x[np.where(ok, at, 0)], 0) if len(x) else np.zeros(n_fft)
+    padded = np.concatenate([ends[: n_fft // 2], x, ends[n_fft // 2 :]])
+    edges = np.flatnonzero(padded[1:] != padded[:-1]) + 1
+    first, last = (np.searchsorted(edges, frames * hop + d, "right") for d in (0, n_fft - 1))
+    _, chosen, row = np.unique(np.where(first == last, -1 - first, frames), return_index=True, return_inverse=True)
+    spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, n_fft)[chosen * hop] * _hann(n_fft), axis=1)
+    power = spectrum.real**2 + spectrum.imag**2
+    v = np.log10(np.maximum(power @ (filter_matrix(16000, n_fft, 128) if bank is None else bank).T, 1e-10))
+    return (np.maximum(v, v.max() - 8) + 4) / 4 if v.size else v, row
+
+
+def whisper_rows(samples: np.ndarray, bank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``log_mel`` without repeats, and how many frames each stands for."""
+    v, row = _whisper(np.asarray(samples), bank)
+    return v, np.bincount(row, minlength=len(v)).astype(np.float64)
+
+
 def log_mel(samples: np.ndarray, kind: str = "whisper", bank: np.ndarray | None = None) -> np.ndarray:
     """(frames, bins) of one recording, by the front end of one model family: whisper, gigaam or parakeet."""
     x = np.asarray(samples, np.float64)
     if kind == "whisper":
-        n_fft, hop = 400, 160
-        at = np.arange(len(x) // hop + 1)[:, None] * hop + np.arange(n_fft)[None, :] - n_fft // 2
-        at = np.where(at < 0, -at, at)
-        at = np.where(at >= len(x), 2 * len(x) - at - 2, at)
-        ok = (at >= 0) & (at < len(x))
-        f = np.where(ok, x[np.where(ok, at, 0)], 0.0) if len(x) else np.zeros(at.shape)
-        power = np.abs(np.fft.rfft(f * _hann(n_fft), axis=1)) ** 2
-        v = np.log10(np.maximum(power @ (filter_matrix(16000, n_fft, 128) if bank is None else bank).T, 1e-10))[:-1]
-        return (np.maximum(v, v.max() - 8) + 4) / 4 if v.size else v
+        v, row = _whisper(x, bank)
+        return v[row]
     if kind == "gigaam":
         n_fft, hop = 320, 160
         if len(x) < n_fft:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorel.functions.text import escape_cell, format_timestamp, sanitize_filename
@@ -33,10 +34,22 @@ def speaker_names(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def segment_samples(segments: DataFrame, recordings: DataFrame) -> DataFrame:
-    """``segments(path, start, end, ...)`` with the slice of ``recordings(path, samples)``: one join on the recording."""
-    joined = segments.join(recordings.select("path", "samples"), "path")
-    return joined.withColumn("samples", F.slice("samples", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+def segment_samples(segments: DataFrame, recordings: DataFrame, *keys: str) -> DataFrame:
+    """``segments(path, start, end, ...)`` with the slice of ``recordings(path, samples)``: one join on the recording.
+
+    ``keys`` in place of the recording's path join on more. With a column ``hold`` each sample lasts that long; the slice has all samples that the segment touches, and ``held`` cuts it.
+    """
+    keys = keys or ("path",)
+    kept = [c for c in ("samples", "hold") if c in recordings.columns]
+    joined = segments.join(recordings.select(*keys, *kept), list(keys))
+    hold = F.col("hold") if "hold" in kept else F.lit(1)
+    first, last = F.floor(F.col("start") / hold), F.floor((F.col("end") - 1) / hold)
+    return joined.withColumn("samples", F.slice("samples", (first + 1).cast("int"), (last - first + 1).cast("int")))
+
+
+def held(samples: np.ndarray, hold: int, start: int, end: int) -> np.ndarray:
+    """A segment's samples at full length, from a slice of ``segment_samples``."""
+    return np.repeat(samples, hold)[start % hold :][: end - start]
 
 
 def line_of(start_s: Column, end_s: Column, speaker: Column, text: Column) -> Column:

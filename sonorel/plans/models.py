@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sonorel.functions.text import parse_output, token_budget
+from sonorel.operators.transcript import held
 
 RATE = 16000
 
@@ -87,23 +88,24 @@ def load(name: str, quantized: bool = False) -> Model:
 
 
 def transcribe_segments(segments: DataFrame, factory: Callable[[], Model], temperature: float = 0.0, max_tokens: int | None = None, budget: str | None = None, parts: int | None = None) -> DataFrame:
-    """``segments(..., start, end, samples, lang)`` with ``text, language, stop_reason, seconds``; the model is made once per task.
+    """``segments(..., start, end, samples, lang)``, or with ``hold``, with ``text, language, stop_reason, seconds``; the model is made once per task.
 
     Segments are dealt out evenly first, so that one long recording keeps all executors busy.
     ``budget`` names the rule by which a segment's length bounds its tokens; ``max_tokens`` overrides it.
     Texts are trimmed; what a model marked ``raw`` says is parsed into language and text.
     """
     spark = segments.sparkSession
-    keep = [c for c in segments.columns if c not in ("samples", "lang")]
+    keep = [c for c in segments.columns if c not in ("samples", "lang", "hold")]
     schema = ", ".join(f"`{c}` {t}" for c, t in segments.dtypes if c in keep) + ", lang string, text string, language string, stop_reason string, seconds double, raw boolean"
-    limit = F.lit(max_tokens).cast("long") if max_tokens or not budget else token_budget(F.size("samples") / RATE, budget)
+    limit = F.lit(max_tokens).cast("long") if max_tokens or not budget else token_budget((F.col("end") - F.col("start") if "hold" in segments.columns else F.size("samples")) / RATE, budget)
     dealt = segments.withColumn("_limit", limit).repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for pdf in batches:
             rows = []
-            for samples, lang, most in zip(pdf["samples"], pdf["lang"], pdf["_limit"]):
+            heard = (held(*x) for x in zip(pdf["samples"], pdf["hold"], pdf["start"], pdf["end"])) if "hold" in pdf else pdf["samples"]
+            for samples, lang, most in zip(heard, pdf["lang"], pdf["_limit"]):
                 began = time.perf_counter()
                 got = model.transcribe(np.asarray(samples, np.float32), TranscribeOptions(language=lang or None, max_tokens=None if pd.isna(most) else int(most), temperature=temperature))
                 rows.append((lang, got.text.strip(), got.language or "", got.stop_reason, time.perf_counter() - began, getattr(model, "raw", False)))

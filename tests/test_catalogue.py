@@ -2,10 +2,12 @@
 
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonorel.plans import catalogue, layers  # noqa: F401
 
@@ -110,3 +112,13 @@ def test_groups_settle_beyond_six_rounds(spark, tmp_path):
     con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     got, six, all_rounds = ({tuple(r) for r in rows} for rows in (catalogue.queries()["g3_kmeans"](spark, str(tmp_path)).collect(), con.execute(catalogue._kmeans_sql()).fetchall(), con.execute(catalogue._kmeans_sql(rounds=25)).fetchall()))
     assert got == all_rounds and got != six
+
+
+def test_long_streams_are_diarized(spark, tmp_path):
+    """Two streams of 20,000 values, 96 million samples each; written out they took minutes."""
+    rows = spark.range(40000).selectExpr("id as event_id", "id % 2 as user_id", "id as ts", "case when id div 2 % 20 < 10 then 400.0d else 0.0d end as value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    began = time.perf_counter()
+    got = catalogue.queries()["g11_diarize_stub"](spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n"), F.min("start_s").alias("first"), F.max("end_s").alias("last")).collect()
+    assert {r.path: (r.n, r.first) for r in got} == {p: (1000, 0.0) for p in ("0", "1")}
+    assert all(5997 <= r.last <= 5998 for r in got) and time.perf_counter() - began < 60

@@ -276,6 +276,38 @@ def test_listing_never_reads_contents(spark, tmp_path):
     assert [(r.name, r.size) for r in files.collect()] == [("config.json", 2)]
 
 
+def test_equal_samples_share_a_row():
+    rng = np.random.default_rng(0)
+    steps, noise = np.repeat(rng.normal(size=12), 4800)[960:-480], rng.normal(size=4000)
+    for x in (steps, noise, np.full(700, 0.1), np.repeat(noise[:9], 70), np.zeros(0)):
+        at = np.pad(x, 200, mode="reflect") if len(x) else np.zeros(400)
+        frames = np.array([at[i * 160 : i * 160 + 400] for i in range(len(x) // 160)]).reshape(-1, 400)
+        power = np.abs(np.fft.rfft(frames * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400)), axis=1)) ** 2
+        v = np.log10(np.maximum(power @ si.filter_matrix(16000, 400, 128).T, 1e-10))
+        want = (np.maximum(v, v.max() - 8) + 4) / 4 if v.size else v
+        assert np.allclose(si.log_mel(x, "whisper"), want, atol=1e-9)
+        rows, counts = si.whisper_rows(x)
+        assert counts.sum() == len(want) and np.allclose(counts @ rows, want.sum(axis=0), atol=1e-6)
+    assert len(si.whisper_rows(steps)[0]) < 60 < 340 < len(si.log_mel(steps, "whisper"))
+
+
+def test_held_samples_equal_samples_written_out(spark):
+    rng = np.random.default_rng(3)
+    values = [float(v) for v in np.float32(rng.exponential(0.1, 120) * (rng.random(120) < 0.6))]
+    rows = [("a", 16000, 1, values, 4800), ("b", 16000, 1, values, 2500), ("c", 16000, 2, values, 4800), ("d", 8000, 1, values, 1200), ("e", 16000, 1, values[:1], 480), ("f", 16000, 1, [], 480)]
+    out = [(p, r, c, [float(v) for v in np.repeat(np.reshape(x, (-1, c)), h, axis=0).ravel()]) for p, r, c, x, h in rows]
+    held = spark.createDataFrame(rows, "path string, sample_rate int, channels int, samples array<float>, hold int")
+    written = spark.createDataFrame(out, "path string, sample_rate int, channels int, samples array<float>")
+    for detector in (sg.energy_detector, lambda x, mode: F.exists(x, lambda v: v > 0.1) & (F.size(x) == 480)):
+        a, b = (sorted(map(tuple, dz.detect(dz.tracks(d, "auto", 480), sg.VadConfig(), detector).collect())) for d in (held, written))
+        assert a and a == b
+    for mode in ("auto", "cluster"):
+        a, b = (sorted(map(tuple, dz.diarize(d, dz.DiarizeOptions(speaker_mode=mode)).collect())) for d in (held, written))
+        assert {r[0] for r in a} >= {"a", "b", "c", "d"} and a == b
+    a, b = (sorted(map(tuple, dz.transcribe(d, chunk_seconds=1).select("path", "text", "audio_duration_secs").collect())) for d in (held, written))
+    assert len(a) == 6 and a == b
+
+
 def test_diarize_stereo_and_mono(spark, tmp_path):
     rng = np.random.default_rng(5)
     t = np.arange(16000) / 16000
