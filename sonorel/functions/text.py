@@ -91,7 +91,18 @@ def display_name(model: Column) -> Column:
 
 
 def mebibytes(size: Column) -> Column:
-    return F.format_string("%.1f MiB", size / F.lit(1048576.0))
+    """Whole bytes in MiB with one decimal; ties go to the even digit, as in C, and null stays null.
+
+    Java's own format rounds ties up and decimals instead of the number, so whole tenths are counted here.
+    """
+    least = F.abs(size.cast("double"))
+    whole = F.floor(least / F.lit(1048576.0)).cast("long")
+    rest = (least - whole * F.lit(1048576.0)).cast("long") * 10  # both exact: 2**20 is a power of two
+    tenths, over = F.floor(rest / 1048576).cast("long"), rest % 1048576
+    up = F.when((over > 524288) | ((over == 524288) & (tenths % 2 == 1)), 1).otherwise(0)
+    total = whole * 10 + tenths + up
+    sign = F.when(size < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"), F.lit(" MiB"))
 
 
 def quantization_of(file: Column) -> Column:

@@ -122,3 +122,14 @@ def test_long_streams_are_diarized(spark, tmp_path):
     got = catalogue.queries()["g11_diarize_stub"](spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n"), F.min("start_s").alias("first"), F.max("end_s").alias("last")).collect()
     assert {r.path: (r.n, r.first) for r in got} == {p: (1000, 0.0) for p in ("0", "1")}
     assert all(5997 <= r.last <= 5998 for r in got) and time.perf_counter() - began < 60
+
+
+def test_mebibytes_round_as_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    sizes = [None, 0, 1, -1, -40, 52, 53, 32768, -32768, 98304, 163840, 229376, 2**63 // 1000, -(2**63) // 1000 + 1, *range(1047, 1060), *(32768 * k for k in range(1, 200)), *(int(v) for v in rng.integers(0, 2**24, 2000)), *(int(v) for v in rng.integers(2**40, 2**53, 500))]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = ({r[0]: r[1] for r in rows} for rows in (catalogue.queries()["f11_mebibytes"](spark, str(tmp_path)).collect(), con.execute(catalogue.oracle_sql()["f11_mebibytes"]).fetchall()))
+    assert got == want and len(got) == len(sizes)
+    assert [got[sizes.index(n)] for n in (32768, 98304, None)] == ["31.2 MiB", "93.8 MiB", None]
